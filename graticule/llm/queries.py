@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import copies
+from graticule.llm import copies, packing, spans, tokens
 from graticule.session import table
 
 
@@ -16,4 +16,25 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "extracted_table")).select("row_id", "primary_key", "copies")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts decoded from their ids."""
+    return tokens.decode(p8_ids(spark, d))
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return spans.coverage(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
