@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import copies, packing, spans, tokens
+from graticule.llm import copies, emails, packing, spans, tokens
 from graticule.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return emails.new_text(table(spark, d, "emails"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "extracted_table")).select("keep_id", "dup_id")
 
@@ -37,4 +41,4 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_collapsed, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
