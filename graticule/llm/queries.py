@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import copies, emails, packing, spans, tokens
+from graticule.llm import copies, emails, packing, pii, spans, tokens
 from graticule.session import table
 
 
@@ -20,6 +20,14 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(table(spark, d, "extracted_table")).select("row_id", "primary_key", "copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "emails"))
+
+
+def p5_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    return pii.sanitise(table(spark, d, "emails"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -41,4 +49,4 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_collapsed, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
