@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graticule.llm import copies, emails, packing, pii, spans, tokens
+from graticule.llm import copies, emails, linkage, packing, pii, spans, tokens
 from graticule.session import table
 
 
@@ -12,6 +13,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return emails.new_text(table(spark, d, "emails"))
 
 
+def p3_linked(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates with their confidence."""
+    return linkage.link_documents(table(spark, d, "list_entries"), table(spark, d, "folder_documents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_linked(spark, d).filter(F.col("confidence") >= linkage.CONFIDENCE).select("entry_id", "document_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "extracted_table")).select("keep_id", "dup_id")
 
@@ -49,4 +59,4 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
