@@ -37,3 +37,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p6_found, p6_wide, p7_found)}
+ORACLE: dict[str, str] = {}
