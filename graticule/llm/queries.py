@@ -59,6 +59,17 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage)}
+def p10_passages(spark: SparkSession, d: str) -> DataFrame:
+    return spans.passages(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage, p10_passages)}
 
 ORACLE: dict[str, str] = {}
+
+_CANON = r"trim(regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
+ORACLE["p4_found"] = f"""
+WITH c AS (SELECT row_id, coalesce({_CANON.format('primary_key')}, '#null') AS k, list_sort(list_distinct(list_transform(map_entries(cols), lambda e: coalesce({_CANON.format('e.key')}, '#null') || chr(1) || coalesce({_CANON.format('e.value')}, '#null')))) AS v FROM extracted_table),
+g AS (SELECT row_id, min(row_id) OVER (PARTITION BY k, v) AS keep_id FROM c)
+SELECT keep_id, row_id AS dup_id FROM g WHERE row_id <> keep_id
+"""
