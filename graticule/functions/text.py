@@ -19,7 +19,7 @@ class Settings:
     case_sensitive: bool = False
     normalize_dashes: bool = True
     skip_empty: bool = True
-    partial: bool = False
+    partial: bool = True
     threshold: float = 0.5
 
 

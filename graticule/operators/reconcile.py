@@ -71,7 +71,7 @@ def reconcile(table: DataFrame, folder: DataFrame, settings: Settings = Settings
     """One row per table key and per folder key that none chose.
 
     table: code, description, source, ord (unique); folder: code, description, document_id (unique order key).
-    Status: matched (code equal, description not contradicting), partial, missing_from_folder, missing_from_table.
+    Status: matched (code and description agree: equal, contained or blank), partial, missing_from_folder, missing_from_table.
     """
     t = table.withColumn("t_key", normalized(F.col("code"), settings)).filter("t_key <> ''")
     t = t.filter(code_prefix(F.col("code"), prefix)) if prefix else t
@@ -84,8 +84,9 @@ def reconcile(table: DataFrame, folder: DataFrame, settings: Settings = Settings
     code_ok, text_ok = values_match(F.col("code"), F.col("f_code"), settings), values_match(F.col("description"), F.col("f_description"), settings)
     status = F.when(~hit, "missing_from_folder").when(code_ok & text_ok, "matched").otherwise("partial")
     both = hit & (F.coalesce("description", F.lit("")) != "") & (F.coalesce("f_description", F.lit("")) != "")
-    similarity = F.when(both, F.round(jaccard(tokens(F.col("description")), tokens(F.col("f_description"))), 6))
-    a = left.select(F.col("t_key").alias("primary_key"), status.alias("status"), F.round("score", 6).alias("score"), "source", "document_id", similarity.alias("description_score"), F.when(hit, text_ok).alias("description_match"))
+    alike = jaccard(tokens(F.col("description")), tokens(F.col("f_description")))
+    similarity = F.when(both, F.round(alike, 6))
+    a = left.select(F.col("t_key").alias("primary_key"), status.alias("status"), F.round("score", 6).alias("score"), "source", "document_id", similarity.alias("description_score"), F.when(both, alike >= settings.threshold).alias("description_match"))
     b = f.join(best, "f_key", "left_anti").select(F.col("f_key").alias("primary_key"), F.lit("missing_from_table").alias("status"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("source"), "document_id", F.lit(None).cast("double").alias("description_score"), F.lit(None).cast("boolean").alias("description_match"))
     return a.unionByName(b)
 

@@ -45,9 +45,9 @@ tt AS (SELECT t_key, {TOK.format('t_key')} AS ta FROM t), ft AS (SELECT f_key, p
 sc AS (SELECT t_key, f_key, pos, {JAC.format('ta', 'tb')} AS s FROM tt, ft),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t_key ORDER BY s DESC, pos) AS rn FROM sc WHERE s >= 0.5) WHERE rn = 1),
 l AS (SELECT t.t_key, t.source, best.f_key, best.s, f.document_id, t.description AS d1, f.f_description AS d2, {NORM.format('t.code')} AS c1, {NORM.format('f.f_code')} AS c2, {NORM.format('t.description')} AS n1, {NORM.format('f.f_description')} AS n2 FROM t LEFT JOIN best USING (t_key) LEFT JOIN f ON best.f_key = f.f_key),
-e AS (SELECT t_key AS primary_key, CASE WHEN f_key IS NULL THEN 'missing_from_folder' WHEN (c1 = c2 OR c1 = '' OR c2 = '') AND (n1 = n2 OR n1 = '' OR n2 = '') THEN 'matched' ELSE 'partial' END AS status, round(s, 6) AS score, source, document_id,
+e AS (SELECT t_key AS primary_key, CASE WHEN f_key IS NULL THEN 'missing_from_folder' WHEN (c1 = '' OR c2 = '' OR contains(c1, c2) OR contains(c2, c1)) AND (n1 = '' OR n2 = '' OR contains(n1, n2) OR contains(n2, n1)) THEN 'matched' ELSE 'partial' END AS status, round(s, 6) AS score, source, document_id,
  CASE WHEN f_key IS NOT NULL AND coalesce(d1,'') <> '' AND coalesce(d2,'') <> '' THEN round({JAC.format(TOK.format('d1'), TOK.format('d2'))}, 6) END AS description_score,
- CASE WHEN f_key IS NOT NULL THEN n1 = n2 OR n1 = '' OR n2 = '' END AS description_match FROM l
+ CASE WHEN f_key IS NOT NULL AND coalesce(d1,'') <> '' AND coalesce(d2,'') <> '' THEN {JAC.format(TOK.format('d1'), TOK.format('d2'))} >= 0.5 END AS description_match FROM l
  UNION ALL SELECT f_key, 'missing_from_table', NULL, NULL, document_id, NULL, NULL FROM f WHERE f_key NOT IN (SELECT f_key FROM best))
 """
 
