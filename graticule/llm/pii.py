@@ -7,7 +7,7 @@ where it stands at all, and its disclosure is the information that it gives abou
 
     log2( P(protected | word) / P(protected) ),
 
-in bits. Words above the threshold reveal persons wherever they stand with a capital; with their particles, initials and
+in bits; the first is taken over the word's capitalised places, the second over all words of the corpus. Words above the threshold reveal persons wherever they stand with a capital; with their particles, initials and
 unknown capitalised neighbours they make up the names. All items are replaced by placeholders of their types.
 
 The counts are combinable aggregates. No list of names is broadcast: the words of each message are joined with the
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 #: Bits from which a word reveals a person, and protected places that it must have.
 BITS, SUPPORT = 1.0, 1
 FIELDS = ("body", "snippet")
+#: Stands for all words in the counts.
+ALL = "\0"
 #: A line is taken for wrapped if it would have this length with the next line's first word.
 WRAP = 64
 
@@ -282,6 +284,7 @@ def corpus_words(df: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: dict[str, list[int]] = {}
+            everything = 0
             for sender, recipient, body in zip(*(c.to_pylist() for c in b.columns)):
                 for shown in (sender, recipient):
                     for w in re.findall(NAME, shown.split("<")[0]) if shown and "<" in shown else ():
@@ -297,10 +300,12 @@ def corpus_words(df: DataFrame) -> DataFrame:
                     if _free(taken, x, y):
                         mask[x:y] = [True] * (y - x)
                 for m in re.finditer(NAME, text):
+                    everything += 1
                     if (m.group()[0].isupper() or mask[m.start()]) and not taken[m.start()]:
                         c = counts.setdefault(m.group().lower(), [0, 0])
                         c[0] += mask[m.start()]
                         c[1] += 1
+            counts[ALL] = [sum(c[0] for c in counts.values()), everything]
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1)]], names=["word", "p", "n"])
 
     return df.select("sender", "recipient", "body").mapInArrow(rows, "word string, p bigint, n bigint").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -308,10 +313,10 @@ def corpus_words(df: DataFrame) -> DataFrame:
 
 def disclosure(counts: DataFrame) -> DataFrame:
     """(word, bits): the information that a word gives about a person being named."""
-    whole = counts.agg((F.sum("p") / F.sum("n")).alias("prior"))
+    whole = counts.filter(F.col("word") == ALL).select((F.col("p") / F.greatest("n", F.lit(1))).alias("prior"))
     bits = F.log2((F.col("p") / F.col("n")) / F.col("prior"))
     # the prior is one row
-    return counts.filter(F.col("p") >= SUPPORT).join(F.broadcast(whole)).select("word", bits.alias("bits"))
+    return counts.filter((F.col("p") >= SUPPORT) & (F.col("word") != ALL)).join(F.broadcast(whole)).select("word", bits.alias("bits"))
 
 
 def with_revealing(df: DataFrame) -> DataFrame:
