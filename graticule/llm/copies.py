@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graticule.session import checkpointed
+
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: Bits per row of the input that the filter aims at, and bits set per hash.
 BITS_PER_ROW, PROBES = 16, 4
@@ -146,8 +148,9 @@ def filter_bits(rows: int) -> int:
 
 def copies(df: DataFrame, row: str = "row_id", key: str = "primary_key", cols: str = "cols", bits: int | None = None, salts: int = SALTS) -> DataFrame:
     """(keep_id, dup_id, copies): for every record that stands there more than once, its other rows and its number of rows."""
-    hashes = canonical_hashes(df, row, key, cols)
-    some = possible_repeats(hashes, bits or filter_bits(df.count())).withColumn("_s", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    # 24 bytes a row, read three times: the filter, the probe and the salted groups
+    hashes = checkpointed(canonical_hashes(df, row, key, cols))
+    some = possible_repeats(hashes, bits or filter_bits(hashes.count())).withColumn("_s", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     salted = some.groupBy("_a", "_b", "_s").agg(F.min(row).alias("_min"), F.count("*").alias("_n"))
     groups = salted.groupBy("_a", "_b").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("copies"), F.collect_list("_s").alias("_ss")).filter("copies > 1")
     spread = groups.select("_a", "_b", "keep_id", "copies", F.explode("_ss").alias("_s"))
