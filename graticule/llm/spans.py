@@ -12,13 +12,14 @@ two equal windows have equal seeds at equal places. The work goes on seeds, abou
    documents are shared. Seeds in more than ``HOT`` places don't meet: their windows' hashes are spread over all
    partitions instead, again at most one per block.
 
-Nothing is emitted per pair of documents. The seeds of several documents are broadcast if there are at most ``KNOWN`` of
+These steps emit nothing per pair of documents. The seeds of several documents are broadcast if there are at most ``KNOWN`` of
 them (32 MB), else they are joined to the documents' seeds.
 
-Chaining (``passages``) uses the same seeds as anchors. A place is joined with the first two documents of its seed, not
-with all, the anchors of a pair of documents are chained in order with gap costs through a Fenwick tree, and each chain
-is aligned to give a passage with its similarity. It finds reworded copies; it doesn't give the exact coverage, for which
-a pair per couple of documents would be needed in hot groups, so ``shared_spans`` compares windows as above.
+Chaining (``passages``) uses seeds of shorter windows as anchors. All places of a seed are joined with all its places in
+other documents, the anchors of a pair of documents are chained in order with gap costs through a Fenwick tree, and each
+chain is aligned to give a passage with its similarity. It finds reworded copies that have an equal run of 5/4 k characters,
+and gives a row per couple of documents, so a text in n documents gives n * (n - 1) rows; ``shared_spans``, which gives
+the exact coverage, compares windows as above.
 
 Defined cases: null texts and texts shorter than the length have no spans; equal texts under two ids share everything;
 the positions count code points; a repeat within one document doesn't count; rows with a null id are one document;
@@ -34,12 +35,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graticule.session import checkpointed
+
 LENGTH, K = 150, 64
 KNOWN = 4_000_000
 HOT = 50_000
+#: Rows of a seed or of a class of equal texts that one task of ``passages`` joins with.
+SALT = 500
 #: Characters of a block of texts that is hashed at once, and places of a block that are compared at once.
 BLOCK, PLACES = 1 << 21, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -386,19 +391,34 @@ def coverage(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(F.lit(0.0)))
 
 
-def seed_places(df: DataFrame, key: str, text: str, length: int, k: int) -> DataFrame:
-    """(_seed, _id, _pos): every place of every seed."""
+def shared_places(df: DataFrame, key: str, text: str, length: int, k: int) -> DataFrame:
+    """(_seed, _id, _pos, _n): every place of the seeds that stand in several rows, and their number of rows."""
+    common = document_seeds(df, key, text, length, k).groupBy("_seed").agg(F.count("*").alias("_n")).filter("_n > 1")
+    known = common.limit(KNOWN + 1).toArrow()  # at most KNOWN + 1 rows of two numbers
+    small = known.num_rows <= KNOWN
+    if small:
+        order = np.argsort(known.column(0).to_numpy())
+        shared = df.sparkSession.sparkContext.broadcast(tuple(known.column(i).to_numpy()[order] for i in (0, 1)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, _ in _blocks(_typed(batches, box := [])):
             which, _, _, seat, seed, _ = places(texts, length, k)
             order = np.lexsort((seat, which))
-            which, seat, seed = which[order], seat[order], seed[order]
-            new = np.ones(len(which), bool)
-            new[1:] = (which[1:] != which[:-1]) | (seat[1:] != seat[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(seed[new].view(np.int64)), _ids(ids, box[0], which[new]), pa.array(seat[new].astype(np.int32))], names=["_seed", "_id", "_pos"])
+            which, seat, seed = which[order], seat[order], seed[order].view(np.int64)
+            on = np.ones(len(which), bool)
+            on[1:] = (which[1:] != which[:-1]) | (seat[1:] != seat[:-1])
+            n = np.zeros(len(which), np.int64)
+            if small:
+                names, counts = shared.value
+                if not len(names):
+                    continue
+                found = np.minimum(np.searchsorted(names, seed), len(names) - 1)
+                on &= names[found] == seed
+                n = counts[found]
+            yield pa.RecordBatch.from_arrays([pa.array(seed[on]), _ids(ids, box[0], which[on]), pa.array(seat[on].astype(np.int32)), pa.array(n[on])], names=["_seed", "_id", "_pos", "_n"])
 
-    return df.select(key, text).mapInArrow(rows, f"_seed bigint, _id {dict(df.dtypes)[key]}, _pos int")
+    at = df.select(key, text).mapInArrow(rows, f"_seed bigint, _id {dict(df.dtypes)[key]}, _pos int, _n bigint")
+    return at if small else at.drop("_n").join(common, "_seed")
 
 
 class Fenwick:
@@ -477,32 +497,60 @@ def align(a: str, b: str, chain: list[tuple[int, int]], k: int = K) -> tuple[int
     return x0, x1, y0, y1, min(1.0, 2 * same / max(1, x1 - x0 + y1 - y0))
 
 
+def matches(a: str, b: str, anchors: list[tuple[int, int]], length: int, k: int, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """The passages of two texts; a chain that is too unlike is parted at its widest gap."""
+    todo = chains(anchors, k)
+    while todo:
+        chain = todo.pop()
+        found = align(a, b, chain, k)
+        if found[4] >= similarity:
+            if found[1] - found[0] >= length:
+                yield found
+        elif len(chain) > 1:
+            cut = max(range(1, len(chain)), key=lambda i: chain[i][0] - chain[i - 1][0] + chain[i][1] - chain[i - 1][1])
+            todo += [chain[:cut], chain[cut:]]
+
+
+def _salted(n: str) -> Column:
+    """The number of parts into which what has ``n`` rows is dealt."""
+    return (F.col(n) / SALT).cast("int") + 1
+
+
 def passages(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, similarity: float = 0.8) -> DataFrame:
     """(key, other, start_pos, end_pos, other_start, other_end, similarity): fuzzy passages of at least ``length`` characters.
 
-    Every document is chained with the first document of each of its seeds (the first itself with the last), so the
-    number of pairs is at most the number of seeds, whatever the size of a group of copies.
+    Every two documents with a common seed are chained from all places of their seeds. The seeds are those of windows of
+    5/4 k, so that each equal run of that length gives an anchor. Equal texts are chained once, as one class, and the
+    passages go to all members; seeds and classes with many rows are dealt to several tasks.
     """
     kind = dict(df.dtypes)[key]
-    common = common_seeds(df, key, text, length, k)
-    at = seed_places(df, key, text, length, k).join(common.select("_seed", "_first", "_second"), "_seed")
-    there = at.filter((F.col("_id") == F.col("_first")) | (F.col("_id") == F.col("_second"))).groupBy("_seed", F.col("_id").alias("_other")).agg(F.min("_pos").alias("_there"))
-    here = at.select("_seed", "_id", "_pos", F.when(F.col("_id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("_other"))
-    # the places of one document in one other are bounded by the document's own length
-    pairs = here.join(there, ["_seed", "_other"]).groupBy("_id", "_other").agg(F.collect_list(F.struct("_pos", "_there")).alias("_anchors"))
-    texts = df.select(F.col(key).alias("_id"), F.col(text).alias("_a"))
-    both = pairs.join(texts, "_id").join(texts.withColumnsRenamed({"_id": "_other", "_a": "_b"}), "_other").select("_id", "_other", "_anchors", "_a", "_b")
+    rows_ = df.filter(F.char_length(text) >= length).select(F.md5(F.col(text)).alias("_class"), F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    members = checkpointed(rows_.groupBy("_class", "_doc").agg(F.lit(1).alias("_one")).select("_class", "_doc"))
+    classes = members.groupBy("_class").agg(F.count("*").alias("_copies"))
+    at = shared_places(rows_, "_class", "_text", min(length, k + k // 4), k)
+    at = checkpointed(at.groupBy("_seed", "_id").agg(F.collect_set("_pos").alias("_here"), F.max("_n").alias("_n")))
+    here = at.withColumn("_part", F.explode(F.sequence(F.lit(0), _salted("_n") - 1)))
+    there = at.select("_seed", F.col("_id").alias("_other"), F.col("_here").alias("_there"), F.pmod(F.xxhash64("_id"), _salted("_n")).cast("int").alias("_part"))
+    pairs = here.join(there, ["_seed", "_part"]).join(classes.filter("_copies > 1").select(F.col("_class").alias("_id"), F.lit(True).alias("_several")), "_id", "left")
+    pairs = pairs.filter((F.col("_id") != F.col("_other")) | F.col("_several")).groupBy("_id", "_other").agg(F.collect_list(F.struct("_here", "_there")).alias("_anchors"))
+    texts = rows_.join(at.select(F.col("_id").alias("_class")).distinct(), "_class", "left_semi").groupBy("_class").agg(F.first("_text").alias("_text"))
+    both = pairs.join(texts.toDF("_id", "_a"), "_id").join(texts.toDF("_other", "_b"), "_other").select("_id", "_other", "_anchors", "_a", "_b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, out = [], []
-            for i, (anchors, a, b) in enumerate(zip(*(batch.column(j).to_pylist() for j in (2, 3, 4)))):
-                for chain in chains([(p["_pos"], p["_there"]) for p in anchors], k):
-                    found = align(a, b, chain, k)
-                    if found[1] - found[0] >= length and found[4] >= similarity:
-                        which.append(i)
-                        out.append(found)
+            for i in range(len(batch)):
+                anchors, a, b = (batch.column(j)[i].as_py() for j in (2, 3, 4))
+                for found in matches(a, b, [(x, y) for p in anchors for x in p["_here"] for y in p["_there"]], length, k, similarity):
+                    which.append(i)
+                    out.append(found)
             take = pa.array(which, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array([o[j] for o in out], pa.int32()) for j in range(4)], pa.array([o[4] for o in out], pa.float64())], names=[key, "other", "start_pos", "end_pos", "other_start", "other_end", "similarity"])
-
-    return both.mapInArrow(rows, f"`{key}` {kind}, other {kind}, start_pos int, end_pos int, other_start int, other_end int, similarity double")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array([o[j] for o in out], pa.int32()) for j in range(4)], pa.array([o[4] for o in out], pa.float64())], names=["_id", "_other", "start_pos", "end_pos", "other_start", "other_end", "similarity"])
+
+    found = both.mapInArrow(rows, "_id string, _other string, start_pos int, end_pos int, other_start int, other_end int, similarity double")
+    dealt = members.join(classes, "_class").select("_class", "_doc", _salted("_copies").alias("_parts"), F.pmod(F.xxhash64("_doc"), _salted("_copies")).cast("int").alias("_part"))
+    parts = classes.select("_class", F.sequence(F.lit(0), _salted("_copies") - 1).alias("_all"))
+    for side, name in (("_id", "_key"), ("_other", "_with")):
+        found = found.join(parts.withColumnRenamed("_class", side), side).withColumn("_part", F.explode("_all")).drop("_all")
+        found = found.join(dealt.select(F.col("_class").alias(side), "_part", F.col("_doc").alias(name)), [side, "_part"]).drop("_part")
+    return found.filter(~F.col("_key").eqNullSafe(F.col("_with"))).select(F.col("_key").cast(kind).alias(key), F.col("_with").alias("other"), "start_pos", "end_pos", "other_start", "other_end", "similarity")

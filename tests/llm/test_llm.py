@@ -175,6 +175,31 @@ def test_chains_find_reworded_copies(spark):
     assert best == [(0, 0), (100, 100), (210, 200), (300, 310)]
 
 
+@pytest.mark.parametrize("known", [4_000_000, 3])
+def test_passages_of_every_pair_and_place(spark, monkeypatch, known):
+    monkeypatch.setattr(spans, "SALT", 2)
+    monkeypatch.setattr(spans, "KNOWN", known)
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    a, b, c, twice = text(100), text(100), text(100), text(200)
+    rows = [(1, a + text(90)), (2, b + text(90)), (5, text(50) + a + "+" + b + "+" + c), (6, a + "-" + b + "-" + c + text(70)), (9, a + text(80)), (10, b + text(80))]
+    rows += [(20, twice), (21, twice + text(60) + twice), (30, text(400)), (None, text(400))]
+    rows += [(31, rows[-2][1]), (32, rows[-2][1]), (40, rows[-1][1])]
+    # two passages far apart are two, not one that is too unlike
+    p, q = text(400), text(400)
+    rows += [(50, p + text(900) + q), (51, p + text(900) + q)]
+    got = spans.passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    pairs = {(r["doc_id"], r["other"]) for r in got}
+    want = {(5, 6), (20, 21), (30, 31), (30, 32), (31, 32), (None, 40), (50, 51)}
+    assert pairs == want | {(y, x) for x, y in want}
+    at = {(r["doc_id"], r["other"], r["start_pos"], r["other_start"]) for r in got}
+    assert {(20, 21, 0, 0), (20, 21, 0, 260), (21, 20, 260, 0), (50, 51, 0, 0), (50, 51, 1300, 1300)} <= at
+    # brute force: the two texts with all their common runs as anchors
+    for x, y in (rows[2:4], rows[6:8]):
+        anchors = [(i, j) for i in range(len(x[1]) - 63) for j in range(len(y[1]) - 63) if x[1][i : i + 64] == y[1][j : j + 64]]
+        assert {f[:4] for f in spans.matches(x[1], y[1], anchors, 150, 64, 0.8)} == {(r["start_pos"], r["end_pos"], r["other_start"], r["other_end"]) for r in got if (r["doc_id"], r["other"]) == (x[0], y[0])}
+
+
 # ---- emails
 
 MAIL = "msg_id string, subject string, sender string, recipient string, body string, snippet string, sent_date string, internal_ts timestamp"
