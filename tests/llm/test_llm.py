@@ -272,6 +272,18 @@ def test_linkage(spark):
     assert linkage.link_documents(a.limit(0), b).count() == 0
 
 
+def test_candidates_of_cut_descriptions_and_slips(spark):
+    day = dt.datetime(2024, 3, 1)
+    left = [("no code", None, "Schema unifilare quadro", "ELE", "01/03/2024", "x srl", 4), ("no date", None, "Schema unifilare quadro", "ELE", None, "x srl", 4),
+            ("swapped", "GFZ-ELE-0505", "Schema unifilare quadro", "ELE", None, None, None), ("lost", "GFZ-ELE-055", "Pianta di tutto", "ELE", None, None, None), ("project", "FGZX-ELE-055", None, "ELE", None, None, None), ("within", "GFZ-ELE-5", "Schema", "ELE", None, None, None)]
+    text = "Schema unifilare quadro rete dati - lotto 1 - asse 7"
+    right = [("F1", "GFZ-ELE-0055", text, None, day, "x srl", 4), ("F2", None, text, None, day + dt.timedelta(days=21), None, None), ("F3", "GFZ-ELE-0555", text, None, None, None, None)]
+    a = spark.createDataFrame(left, "entry_id string, table_code string, table_description string, discipline string, issue_date string, author string, pages int")
+    b = spark.createDataFrame(right, "document_id string, folder_code string, folder_description string, discipline string, revised_at timestamp, author string, pages int")
+    got = {(r["id"], r["id_b"]) for r in linkage.candidates(linkage.formed(a, linkage.ENTRY), linkage.formed(b, linkage.FOLDER, True)).collect()}
+    assert got >= {("no code", "F1"), ("no code", "F2"), ("no date", "F1"), ("swapped", "F1"), ("lost", "F1"), ("lost", "F3"), ("project", "F1"), ("within", "F1"), ("within", "F3")}
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(8)
     y = rng.random(20_000) < 0.3
