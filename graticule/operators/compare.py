@@ -1,8 +1,8 @@
 """Differences between two copies of data (problem 7).
 
 A checksum matrix of key buckets by columns is built on each side: additive hashes, 2 x 64 bits wide, summed per bucket
-and column. Buckets and columns whose sums are equal hold equal data; only the rows of unequal buckets are read again and
-joined, and only the unequal columns of those buckets are compared.
+and column. Buckets whose sums are equal hold equal data; only the rows of unequal buckets are read again, joined and
+compared in all columns.
 
 The latest version of a key is a combinable aggregate, so a key with a third of all rows is reduced before the shuffle.
 The matrix has a row per bucket, never per key, and is joined, not collected.
@@ -13,6 +13,9 @@ a null time is the earliest; empty tables make all keys of the other side missin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +42,20 @@ def latest(df: DataFrame, key: str, columns: list[str], maps: list[str], at: str
 
 def checksum_matrix(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """(_bucket, n, one struct of two sums per column): additive, so partial sums combine before the shuffle."""
-    wide = lambda c: [F.sum(F.xxhash64(F.lit(seed), F.col("_key"), F.col(c).isNull(), F.col(c)).cast("decimal(20,0)")) for seed in (11, 12)]
+    # xxhash64 passes over nulls within a value, JSON with its null fields shows where they stand
+    nested = {c for c, t in rows.dtypes if t.startswith(("array", "struct", "map"))}
+    value = lambda c: F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c)
+    wide = lambda c: [F.sum(F.xxhash64(F.lit(seed), F.col("_key"), F.col(c).isNull(), value(c)).cast("decimal(20,0)")) for seed in (11, 12)]
     return rows.groupBy(bucket(F.col("_key"), buckets).alias("_bucket")).agg(F.count("*").alias("_n"), *[F.concat_ws("|", *[s.cast("string") for s in wide(c)]).alias(c) for c in columns])
 
 
 def unequal(left: DataFrame, right: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """(_bucket, _columns): the buckets that differ, with the columns in which they do."""
+    """(_bucket): the buckets in which any column differs."""
     a, b = checksum_matrix(left, ["_key", *columns], buckets).alias("a"), checksum_matrix(right, ["_key", *columns], buckets).alias("b")
     both = a.join(b, F.col("a._bucket") == F.col("b._bucket"), "full")
     keys = ~F.col("a._key").eqNullSafe(F.col("b._key")) | ~F.col("a._n").eqNullSafe(F.col("b._n"))
-    differing = F.array_compact(F.array(*[F.when(keys | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]))
-    return both.select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"), differing.alias("_columns")).filter(F.size("_columns") > 0)
+    differing = reduce(or_, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns], keys)
+    return both.filter(differing).select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"))
 
 
 def _differ(a: Column, b: Column, kind: str) -> Column:
@@ -75,7 +81,7 @@ def compare(left: DataFrame, right: DataFrame, key: str = "primary_key", columns
 
     def again(df: DataFrame) -> DataFrame:
         # only rows of unequal buckets reach the aggregate that picks versions, and the join
-        marked = df.withColumn("_bucket", bucket(F.col(key), buckets)).join(found.select("_bucket"), "_bucket", "left_semi")
+        marked = df.withColumn("_bucket", bucket(F.col(key), buckets)).join(found, "_bucket", "left_semi")
         return latest(marked, key, columns, maps, at)
 
     a, b = again(left).withColumn("_here", F.lit(True)).alias("a"), again(right).withColumn("_here", F.lit(True)).alias("b")

@@ -103,3 +103,8 @@ def test_compare_any_number_of_buckets(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == want
     x, y = {r[0]: r for r in a}, {r[0]: r for r in b}
     assert {r[0] for r in want} == {k for k in x.keys() | y.keys() if x.get(k) != y.get(k)}
+
+
+def test_compare_sees_swapped_nulls(spark):
+    make = lambda *member: [("k", "s", 0.5, "t", {"data": member}, "d", "n", AT)]
+    assert sides(spark, make("x", None, True, 0.5), make(None, "x", True, 0.5)) == [("k", "differs", "data.folder_value"), ("k", "differs", "data.table_value")]
