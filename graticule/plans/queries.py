@@ -331,9 +331,9 @@ def clause_explode_valid(spark, d):
 
 @query()
 def clause_context(spark, d):
-    """The first line of each text with the first part, by blank lines, that contains it."""
+    """Each line of each text with the first part, by blank lines, that contains it."""
     t = table(spark, d, "documents").filter("text is not null")
-    clauses = docs.exploded(t, "doc_id", F.split("text", "\n")).filter("pos = 0").withColumnRenamed("item", "clause")
+    clauses = docs.exploded(t, "doc_id", F.split("text", "\n")).withColumnRenamed("item", "clause")
     sections = t.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("ord", "section"))
     return docs.context(clauses, sections, "doc_id")
 

@@ -159,3 +159,12 @@ def test_registry_and_documents(spark):
     assert got["section_ord"] == 1 and got["found"]
     h = spark.createDataFrame([([("From", "a"), ("FROM", "b")],)], "h array<struct<name: string, value: string>>")
     assert h.select(docs.header_map(F.col("h"))).first()[0] == {"from": "b"}
+
+
+def test_context_of_every_line(spark, tmp_path):
+    from graticule.plans import queries
+
+    texts = {1: "a\nb\n\nc\n\nb c", 2: "x", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, i, next(j for j, part in enumerate(t.split("\n\n")) if line in part)) for d, t in texts.items() if t for i, line in enumerate(t.split("\n")) if line}
+    assert {(r["doc_id"], r["pos"], r["section_ord"]) for r in queries.clause_context(spark, str(tmp_path)).collect()} == want
