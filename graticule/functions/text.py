@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"(?U)[\s\x{FEFF}]"
+#: White space at the ends of texts.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 TOKEN_BREAK = r"[\s\-_:.,;/\\]+"
 
 
@@ -25,7 +26,7 @@ class Settings:
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalized(c: Column, s: Settings = Settings()) -> Column:

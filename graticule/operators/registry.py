@@ -36,16 +36,19 @@ def current(df: DataFrame, key: str = "mcp_id", at: str = "updated_at") -> DataF
     return df.withColumn("_o", F.struct(F.col(at), F.to_json(F.struct(*[c for c in df.columns if c != at])))).groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "_o").alias("_r")).select(key, "_r.*")
 
 
-def docker_defaults(d: Column, transport: Column) -> Column:
-    """Nested defaults, each with its fallback; mounts only where there are any."""
+def docker_defaults(stored: Column, transport: Column, port: Column | None = None, manifest: Column | None = None, manifest_transport: Column | None = None) -> Column:
+    """Nested defaults: the manifest's part, else the stored one, else the row's own column or the fixed value.
+
+    ``resources`` is taken whole from the first side that has it; mounts are null where neither side has any.
+    """
+    first = lambda name, *more: F.coalesce(*([manifest[name]] if manifest is not None else []), stored[name], *more).alias(name)
+    own_port = port if port is not None else F.lit(None).cast("int")
+    by = F.coalesce(*([manifest_transport] if manifest_transport is not None else []), transport, F.lit(""))
     return F.struct(
-        d["container_port"].alias("container_port"),
-        F.coalesce(d["protocol"], F.lit("http")).alias("protocol"),
-        F.coalesce(d["needs_port_mapping"], F.coalesce(transport, F.lit("")) == "sse").alias("needs_port_mapping"),
-        F.coalesce(d["needs_file_access"], F.lit(False)).alias("needs_file_access"),
-        F.coalesce(d["resources"]["memory"], F.lit("512m")).alias("memory"),
-        F.coalesce(d["resources"]["cpus"], F.lit("0.5")).alias("cpus"),
-    )
+        first("container_port", own_port), first("sse_endpoint"), first("protocol", F.lit("tcp")), first("needs_port_mapping", by == "sse"),
+        first("default_host_port", own_port), first("needs_file_access", F.lit(False)), first("volume_mounts"),
+        first("resources", F.struct(F.lit("512m").alias("memory"), F.lit("0.5").alias("cpus"))),
+    )
 
 
 def merge_manifests(df: DataFrame, manifests: DataFrame, key: str, columns: dict[str, object]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,21 @@ from graticule.functions.text import round_half_up, trimmed
 from graticule.session import checkpointed
 
 NUMERIC = r"^-?\d+(?:[.,]\d+)?$"
-# Component kinds by letter prefix.
-KINDS = {"QF": "breaker", "QS": "breaker", "QM": "breaker", "Q": "breaker", "KM": "contactor", "KA": "relay", "K": "relay", "XT": "terminal", "X": "terminal", "M": "motor", "T": "transformer", "PLC": "plc", "AP": "panel", "FU": "fuse", "F": "fuse", "SB": "button", "S": "button", "HL": "lamp", "H": "lamp"}
-
+# Component kinds by letter prefix, all others are "other"; and the colours of the kinds.
+KINDS = {
+    "QF": "breaker", "QM": "breaker", "QS": "breaker",
+    "KM": "relay", "KA": "relay", "K": "relay",
+    "TS": "power", "PS": "power", "G": "power",
+    "XT": "terminal", "X": "terminal",
+    "FS": "fuse", "FU": "fuse",
+    "SB": "switch", "SA": "switch", "S": "switch",
+    "HL": "lamp", "H": "lamp",
+    "AP": "plc", "PLC": "plc", "CPU": "plc",
+    "M": "motor", "MOT": "motor",
+}
+COLORS = {"breaker": "#90EE90", "relay": "#87CEEB", "power": "#FFB6C1", "terminal": "#D3D3D3", "fuse": "#FFA500", "switch": "#FFFF00", "lamp": "#DDA0DD", "plc": "#00CED1", "motor": "#98FB98", "other": "#FFFFFF"}
+#: Edges of a wire id up to which its references are joined up in one pass of a task; larger ones spread in rounds.
+LOCAL_EDGES = 20_000
 
 def numeric_coordinate(c: Column) -> Column:
     return trimmed(c).rlike(NUMERIC)
@@ -41,7 +56,7 @@ def endpoint_class(c: Column) -> Column:
 
 def dropped_id(c: Column) -> Column:
     """Ids of shielding and protective conductors."""
-    return c.rlike("(?i)^W") | F.upper(trimmed(c)).isin("N", "PE", "PEN")
+    return F.upper(trimmed(c)).startswith("W") | F.upper(trimmed(c)).isin("N", "PE", "PEN")
 
 
 def clean_gauge(c: Column) -> Column:
@@ -50,29 +65,35 @@ def clean_gauge(c: Column) -> Column:
     return F.when(F.lower(c).contains("mm") | trimmed(c).rlike(r"(?i)^\d+\s*x\s*\d+") | ((number > 0) & (number <= 70)), trimmed(c))
 
 
-def clean_length(c: Column) -> Column:
-    n = c.try_cast("double")
+def clean_length(c: Column, number: bool = True) -> Column:
+    """Numbers as they are, if finite; of texts those that read as a number above 0 and below a million, with either decimal sign."""
+    if number:
+        n = c.cast("double")
+        return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
+    plain = F.regexp_replace(trimmed(c), "^([^,]*),", "$1.")
+    n = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
     return F.when((n > 0) & (n < 1e6), n)
 
 
 def split_endpoint(c: Column) -> tuple[Column, Column]:
-    """(component, pin) of an endpoint."""
-    terminal = F.regexp_extract(c, r"^-?(?:XT|X)\d+[.:](.+)$", 1)
-    plain = F.regexp_extract(c, r"^(.+?)[.:]([^.:]+)$", 2)
-    long = F.regexp_extract(c, r"^(.+?)[.:].*[.:]([^.:]+)$", 2)
-    kind = F.when(terminal != "", "t").when(long != "", "l").when(plain != "", "p")
-    component = F.when(kind == "t", F.regexp_extract(c, r"^(-?(?:XT|X)\d+)[.:]", 1)).when(kind.isNotNull(), F.regexp_extract(c, r"^([^.:]+)[.:]", 1)).otherwise(c)
-    return component, F.when(kind == "t", terminal).when(kind == "l", long).when(kind == "p", plain).otherwise("")
+    """(component, pin): the part before the first separator and all after it; of a pin with letters only the number at its end."""
+    t = trimmed(c)
+    card = r"^(-?[A-Za-z]+\d+(?:-[A-Za-z]+\d+)*)(?:[.:/].*?[.:/]|[:.])X\d+[.:]([\d.]+)$"
+    head, rest = F.regexp_extract(t, r"^([^.:]+)[.:]", 1), F.regexp_extract(t, r"(?s)^[^.:]+[.:](.*)$", 1)
+    last = F.regexp_extract(rest, r"[.:/]([\d.]+)$", 1)
+    pin = F.when(rest.rlike("[A-Za-z]") & (last != ""), last).otherwise(rest)
+    on_card = t.rlike(card)
+    return F.when(on_card, F.regexp_extract(t, card, 1)).when(head != "", head).otherwise(t), F.when(on_card, F.regexp_extract(t, card, 2)).when(head != "", pin).otherwise("")
 
 
 def base_reference(c: Column) -> Column:
-    bare = F.regexp_replace(c, "^-", "")
+    bare = trimmed(F.regexp_replace(c, "^-", ""))
     base = F.regexp_extract(bare, r"^[A-Za-z]+\d+", 0)
     return F.when(base != "", base).otherwise(bare)
 
 
 def component_kind(c: Column) -> Column:
-    letters = F.regexp_replace(F.upper(c), r"\d.*$", "")
+    letters = F.regexp_replace(F.upper(F.regexp_replace(c, "^-", "")), r"\d.*$", "")
     lookup = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     return F.coalesce(lookup[letters], F.lit("other"))
 
@@ -127,10 +148,50 @@ def reference_edges(wires: DataFrame) -> DataFrame:
 
 
 def reference_groups(wires: DataFrame) -> DataFrame:
-    """(id, n, root): connected references of each wire id, by spreading the least name until nothing changes."""
-    nodes = wires.select("id", F.explode(F.array("src", "dst")).alias("n")).filter(is_reference(F.col("n"))).distinct()
+    """(id, n, root) of the references that have a neighbour: connected ones have the least name among them as root.
+
+    The references of one wire id are few, so the edges of an id meet in one task, which joins them up id by id. An id with
+    more than ``LOCAL_EDGES`` edges is spread over all tasks instead, in rounds.
+    """
     edges = checkpointed(reference_edges(wires))
-    roots = checkpointed(nodes.withColumn("root", F.col("n")))
+    large = edges.groupBy("id").count().filter(F.col("count") > LOCAL_EDGES).select("id")
+    if large.isEmpty():
+        return _local_groups(edges)
+    large = checkpointed(large)
+    return _local_groups(edges.join(large, "id", "left_anti")).unionByName(spread_groups(edges.join(large, "id", "left_semi")))
+
+
+def _local_groups(edges: DataFrame) -> DataFrame:
+    """Groups by union and find over edges that are sorted by id, one id in memory at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, up = None, {}
+
+        def find(n: str) -> str:
+            while up[n] != n:
+                up[n] = up[up[n]]
+                n = up[n]
+            return n
+
+        for batch in batches:
+            out: list[tuple[str, str, str]] = []
+            for i, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != own:
+                    out += [(own, n, find(n)) for n in up]
+                    own, up = i, {}
+                x, y = find(up.setdefault(a, a)), find(up.setdefault(b, b))
+                up[max(x, y)] = min(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["id", "n", "root"])
+        rest = [(own, n, find(n)) for n in up]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rest], pa.string()) for k in range(3)], names=["id", "n", "root"])
+
+    once = edges.select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return once.repartition("id").sortWithinPartitions("id").mapInArrow(rows, "id string, n string, root string")
+
+
+def spread_groups(edges: DataFrame) -> DataFrame:
+    """Groups by spreading the least name until nothing changes; two steps a round."""
+    roots = checkpointed(edges.select("id", F.explode(F.array("a", "b")).alias("n")).distinct().withColumn("root", F.col("n")))
     while True:
         new = checkpointed(_spread(_spread(roots.select("id", "n", "root", F.lit(False).alias("moved")), edges), edges))
         roots = new.select("id", "n", "root")
@@ -146,9 +207,11 @@ def _spread(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve(wires: DataFrame) -> DataFrame:
     """(id, a, b) with a < b: real ends that are connected, directly or through references."""
+    wires = checkpointed(wires.select("id", "src", "dst"))  # read for the direct pairs, the references and their edges
     direct = wires.filter(~is_reference(F.col("src")) & ~is_reference(F.col("dst"))).select("id", F.col("src").alias("a"), F.col("dst").alias("b"))
     touch = wires.select("id", F.explode(F.array(F.struct(F.col("src").alias("real"), F.col("dst").alias("n")), F.struct(F.col("dst").alias("real"), F.col("src").alias("n")))).alias("t")).select("id", "t.*").filter(~is_reference(F.col("real")) & is_reference(F.col("n")))
-    seen = touch.join(reference_groups(wires), ["id", "n"]).select("id", "root", "real").distinct()
+    grouped = touch.join(reference_groups(wires), ["id", "n"], "left")
+    seen = grouped.select("id", F.coalesce("root", "n").alias("root"), "real").distinct()
     via = seen.alias("x").join(seen.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.root") == F.col("y.root")) & (F.col("x.real") < F.col("y.real"))).select("x.id", F.col("x.real").alias("a"), F.col("y.real").alias("b"))
     pairs = direct.select("id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     return pairs.unionByName(via).distinct()
@@ -166,9 +229,10 @@ def unresolved(wires: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def cut_list(df: DataFrame) -> DataFrame:
-    """Lengths and numbers by cable, gauge and colour; blank and missing are one."""
+    """Lengths and numbers by cable, gauge and colour; blank and missing are one, lengths of 0 don't count."""
     blank = lambda c: F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c)
-    rows = df.withColumn("_l", clean_length(F.col("length_mm"))).filter("_l is not null").select(blank("cable"), blank("gauge"), blank("color"), "_l")
+    rows = df.withColumn("_l", clean_length(F.col("length_mm"), dict(df.dtypes)["length_mm"] != "string")).filter("_l <> 0")
+    rows = rows.select(blank("cable"), F.coalesce(clean_gauge(F.col("gauge")), F.lit("")).alias("gauge"), blank("color"), "_l")
     return rows.groupBy("cable", "gauge", "color").agg(round_half_up(F.sum("_l")).alias("total_mm"), F.count("*").alias("pieces"))
 
 
@@ -189,12 +253,12 @@ def labels(df: DataFrame) -> DataFrame:
 
 
 def schema_nodes(pairs: DataFrame) -> DataFrame:
-    node = base_reference(split_endpoint(F.col("n"))[0])
+    node = base_reference(F.col("n"))
     return pairs.select(F.explode(F.array("a", "b")).alias("n")).select(node.alias("node")).distinct().select("node", component_kind(F.col("node")).alias("kind"))
 
 
 def schema_edges(pairs: DataFrame) -> DataFrame:
-    end = lambda c: base_reference(split_endpoint(F.col(c))[0])
+    end = lambda c: base_reference(F.col(c))
     return pairs.select(end("a").alias("source"), end("b").alias("target"), F.col("id").alias("wire_id"))
 
 

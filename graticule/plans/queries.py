@@ -127,9 +127,21 @@ def search_limit(spark, d):
     return registry.search_regex(table(spark, d, "part"), "^[a-m].*e", ["p_name"]).select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
 
 
-@query("SELECT DISTINCT mcp_id, docker_defaults.container_port AS container_port, coalesce(docker_defaults.protocol, 'http') AS protocol, coalesce(docker_defaults.needs_port_mapping, coalesce(transport, '') = 'sse') AS needs_port_mapping, coalesce(docker_defaults.needs_file_access, false) AS needs_file_access, coalesce(docker_defaults.resources.memory, '512m') AS memory, coalesce(docker_defaults.resources.cpus, '0.5') AS cpus FROM registry")
+# a manifest for a third of the rows, each of its parts now given and now missing
+MANIFEST = {"container_port": "CASE WHEN port % 2 = 0 THEN port + 1 END", "sse_endpoint": "CASE WHEN port % 5 = 1 THEN '/m' END", "protocol": "CASE WHEN port % 2 = 1 THEN 'http' END", "needs_port_mapping": "CASE WHEN port % 5 = 2 THEN false END", "default_host_port": "CASE WHEN port % 5 = 3 THEN 1 END", "needs_file_access": "CASE WHEN port % 7 = 0 THEN true END"}
+_M = ", ".join(f"CASE WHEN port % 3 = 0 THEN {x} END AS m_{n}" for n, x in MANIFEST.items())
+_PICK = ", ".join(f"coalesce(m_{n}, docker_defaults.{n}{more}) AS {n}" for n, more in (("container_port", ", port"), ("sse_endpoint", ""), ("protocol", ", 'tcp'"), ("needs_port_mapping", ", coalesce(CASE WHEN port % 12 = 0 THEN 'sse' END, transport, '') = 'sse'"), ("default_host_port", ", port"), ("needs_file_access", ", false")))
+_MAP = "list_aggregate(list_sort(list_transform(map_entries({0}), lambda e: e.key || '=' || coalesce(e.value, ''))), 'string_agg', ',')"
+
+
+@query(f"WITH r AS (SELECT *, {_M}, CASE WHEN port % 15 = 0 THEN {{'memory': '1g', 'cpus': CAST(NULL AS VARCHAR)}} END AS m_resources, CASE WHEN port % 6 = 0 THEN MAP {{'/m': '/n'}} END AS m_mounts FROM registry) SELECT DISTINCT mcp_id, {_PICK}, CASE WHEN m_resources IS NOT NULL THEN m_resources.memory WHEN docker_defaults.resources IS NOT NULL THEN docker_defaults.resources.memory ELSE '512m' END AS memory, CASE WHEN m_resources IS NOT NULL THEN m_resources.cpus WHEN docker_defaults.resources IS NOT NULL THEN docker_defaults.resources.cpus ELSE '0.5' END AS cpus, CASE WHEN m_mounts IS NOT NULL THEN {_MAP.format('m_mounts')} WHEN cardinality(docker_defaults.volume_mounts) > 0 THEN {_MAP.format('docker_defaults.volume_mounts')} WHEN docker_defaults.volume_mounts IS NOT NULL THEN '' END AS mounts FROM r")
 def docker_defaults(spark, d):
-    return table(spark, d, "registry").select("mcp_id", registry.docker_defaults(F.col("docker_defaults"), F.col("transport")).alias("x")).select("mcp_id", "x.*").distinct()
+    """Container settings from the manifest, the stored defaults and the row, in this order."""
+    parts = ", ".join(f"'{n}', {x}" for n, x in MANIFEST.items())
+    manifest = F.expr(f"CASE WHEN port % 3 = 0 THEN named_struct({parts}, 'volume_mounts', CASE WHEN port % 6 = 0 THEN map('/m', '/n') END, 'resources', CASE WHEN port % 15 = 0 THEN named_struct('memory', '1g', 'cpus', CAST(NULL AS STRING)) END) END")
+    r = table(spark, d, "registry").select("mcp_id", registry.docker_defaults(F.col("docker_defaults"), F.col("transport"), F.col("port"), manifest, F.expr("CASE WHEN port % 12 = 0 THEN 'sse' END")).alias("x"))
+    mounts = F.array_join(F.array_sort(F.transform(F.map_entries("x.volume_mounts"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), ",")
+    return r.select("mcp_id", *[f"x.{n}" for n in MANIFEST], "x.resources.memory", "x.resources.cpus", mounts.alias("mounts")).distinct()
 
 
 DOCS = ["c_custkey AS id", "CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name", "CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS category", "CAST(NULL AS STRING) AS tag"]
@@ -215,7 +227,7 @@ WIRES = [
     "CAST(l_orderkey AS {s}) AS id", "(l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord", "100 + l_suppkey % 4 AS sheet",
     "CASE WHEN l_linenumber % 3 = 0 THEN concat('rimando ', CAST(100 + l_partkey % 4 AS {s}), '.', CAST(l_partkey % 9 AS {s})) ELSE concat('QM', CAST(l_partkey % 400 AS {s}), '.', CAST(l_linenumber AS {s})) END AS src",
     "CASE WHEN (l_linenumber + l_suppkey) % 2 = 0 THEN concat('rimando ', CAST(100 + (l_partkey + l_suppkey) % 4 AS {s})) ELSE concat('KM', CAST(l_suppkey AS {s}), '.', CAST(l_partkey % 7 AS {s})) END AS dst",
-    "l_returnflag AS cable", "CASE WHEN l_partkey % 3 = 0 THEN '2,5' WHEN l_partkey % 3 = 1 THEN '160.2' END AS gauge", "l_linestatus AS color", "CASE WHEN l_quantity > 30 THEN concat('n', CAST(l_linenumber AS {s})) END AS note", "l_quantity * 7.3 AS length_mm",
+    "l_returnflag AS cable", "CASE WHEN l_partkey % 3 = 0 THEN '2,5' WHEN l_partkey % 3 = 1 THEN '160.2' WHEN l_partkey % 5 = 1 THEN ' 1.5 MM2' WHEN l_partkey % 5 = 2 THEN '3 x 1.5' WHEN l_partkey % 5 = 3 THEN '70' WHEN l_partkey % 5 = 4 THEN '-1' END AS gauge", "l_linestatus AS color", "CASE WHEN l_quantity > 30 THEN concat('n', CAST(l_linenumber AS {s})) END AS note", "CASE WHEN l_linenumber = 1 THEN -1.0 * l_quantity WHEN l_linenumber = 2 THEN l_quantity * 100000.0 WHEN l_linenumber = 3 AND l_quantity > 25 THEN 0.0 ELSE l_quantity * 7.3 END AS length_mm",
 ]
 WSQL = "w0 AS (SELECT " + ", ".join(x.format(s="VARCHAR") for x in WIRES) + " FROM lineitem)"
 UREF = r"CASE WHEN starts_with(lower({0}), 'rimando') THEN regexp_replace({0}, '^(rimando\s+\d+)\.\d+$', '\1') || '@' || CAST(sheet AS VARCHAR) ELSE {0} END"
@@ -251,7 +263,7 @@ def new_connections(spark, d):
 BASE = r"(CASE WHEN regexp_extract({0}, '^[A-Za-z]+\d+', 0) <> '' THEN regexp_extract({0}, '^[A-Za-z]+\d+', 0) ELSE {0} END)"
 
 
-@query(f"WITH RECURSIVE {RESOLVE} SELECT DISTINCT {BASE.format('n')} AS node, CASE WHEN n LIKE 'QM%' THEN 'breaker' ELSE 'contactor' END AS kind FROM (SELECT a AS n FROM pairs UNION SELECT b FROM pairs)")
+@query(f"WITH RECURSIVE {RESOLVE} SELECT DISTINCT {BASE.format('n')} AS node, CASE WHEN n LIKE 'QM%' THEN 'breaker' ELSE 'relay' END AS kind FROM (SELECT a AS n FROM pairs UNION SELECT b FROM pairs)")
 def schema_graph_nodes(spark, d):
     return wires.schema_nodes(wires.resolve(wires.complete(_wires(spark, d))))
 
@@ -267,19 +279,54 @@ def schema_graph_edges(spark, d):
     return e.groupBy("source", "target", "wire_id").agg(F.count("*").alias("edges"))
 
 
-@query(f"WITH {WSQL} SELECT coalesce(cable,'') AS cable, coalesce(gauge,'') AS gauge, coalesce(color,'') AS color, CAST(floor(sum(length_mm) + 0.5) AS BIGINT) AS total_mm, count(*) AS pieces FROM w0 WHERE length_mm > 0 AND length_mm < 1e6 GROUP BY 1, 2, 3")
+GAUGE = r"CASE WHEN contains(lower(trim({0})), 'mm') OR regexp_matches(lower(trim({0})), '^\d+\s*x\s*\d+') THEN trim({0}) WHEN try_cast(replace(lower(trim({0})), ',', '.') AS DOUBLE) > 0 AND try_cast(replace(lower(trim({0})), ',', '.') AS DOUBLE) <= 70 THEN trim({0}) ELSE '' END"
+CUTS = f"SELECT coalesce(cable,'') AS cable, {GAUGE.format('gauge')} AS gauge, coalesce(color,'') AS color, CAST(floor(sum(n) + 0.5) AS BIGINT) AS total_mm, count(*) AS pieces FROM v WHERE n <> 0 GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {WSQL}, v AS (SELECT *, CAST(length_mm AS DOUBLE) AS n FROM w0) {CUTS}")
 def cut_list(spark, d):
+    """Lengths that are numbers count as they are, whatever their sign and size."""
     return wires.cut_list(_wires(spark, d))
 
 
+LENGTHS = ["p_brand AS cable", "p_type AS color", "CASE WHEN p_size % 4 = 0 THEN '2,5' WHEN p_size % 4 = 1 THEN '4mm' WHEN p_size % 4 = 2 THEN '99' END AS gauge", "CASE p_partkey % 10 WHEN 0 THEN '2,5' WHEN 1 THEN '1,5,2' WHEN 2 THEN '-3' WHEN 3 THEN '2000000' WHEN 4 THEN ' 12 ' WHEN 5 THEN 'abc' WHEN 6 THEN '' WHEN 7 THEN '0' WHEN 8 THEN CAST(p_size AS {s}) END AS length_mm"]
+
+
+@query(f"WITH w0 AS (SELECT {', '.join(x.format(s='VARCHAR') for x in LENGTHS)} FROM part), x AS (SELECT *, try_cast(CASE WHEN contains(length_mm, ',') THEN substring(length_mm, 1, strpos(length_mm, ',') - 1) || '.' || substring(length_mm, strpos(length_mm, ',') + 1) ELSE length_mm END AS DOUBLE) AS m FROM w0), v AS (SELECT *, CASE WHEN m > 0 AND m < 1000000 THEN m END AS n FROM x) {CUTS}")
+def cut_list_text(spark, d):
+    """Lengths that are texts: a decimal comma counts, numbers out of range do not."""
+    return wires.cut_list(table(spark, d, "part").selectExpr(*[x.format(s="STRING") for x in LENGTHS]))
+
+
+PREFIXES = ["QF", "QM", "QS", "KM", "KA", "K", "TS", "PS", "G", "XT", "X", "FS", "FU", "SB", "SA", "S", "HL", "H", "AP", "PLC", "CPU", "M", "MOT", "-km", "qf", "Q", "T", "F", "ABC"]
+REFS = "s_suppkey, concat(CASE s_suppkey % 29 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PREFIXES)) + " END, CAST(s_suppkey % 90 AS {s})) AS ref"
+
+
+@query(f"WITH r AS (SELECT {REFS.format(s='VARCHAR')} FROM supplier), p AS (SELECT *, regexp_replace(upper(regexp_replace(ref, '^-', '')), '\\d+.*', '') AS prefix FROM r) SELECT s_suppkey, ref, CASE WHEN prefix IN ('QF','QM','QS') THEN 'breaker' WHEN prefix IN ('KM','KA','K') THEN 'relay' WHEN prefix IN ('TS','PS','G') THEN 'power' WHEN prefix IN ('XT','X') THEN 'terminal' WHEN prefix IN ('FS','FU') THEN 'fuse' WHEN prefix IN ('SB','SA','S') THEN 'switch' WHEN prefix IN ('HL','H') THEN 'lamp' WHEN prefix IN ('AP','PLC','CPU') THEN 'plc' WHEN prefix IN ('M','MOT') THEN 'motor' ELSE 'other' END AS kind FROM p")
+def component_kinds(spark, d):
+    """Every prefix of components with its kind."""
+    r = table(spark, d, "supplier").selectExpr(*[x.strip() for x in REFS.format(s="STRING").split(", ", 1)])
+    return r.withColumn("kind", wires.component_kind(F.col("ref")))
+
+
 @query(f"WITH {CLEAN} SELECT id, 'A' AS side, src AS endpoint FROM w UNION ALL SELECT id, 'B', dst FROM w")
 def label_rows(spark, d):
     return wires.labels(wires.complete(_wires(spark, d)))
 
 
-@query(f"WITH {CLEAN}, e AS (SELECT DISTINCT src AS endpoint FROM w) SELECT endpoint, CASE WHEN starts_with(endpoint,'rimando') THEN 'reference' ELSE 'component' END AS class, CASE WHEN starts_with(endpoint,'rimando') THEN endpoint ELSE string_split(endpoint,'.')[1] END AS component, CASE WHEN starts_with(endpoint,'rimando') THEN '' ELSE string_split(endpoint,'.')[2] END AS pin FROM e")
+FORMS = ["QM102.13", "AP602-EN101:X1.21", "AP601-ID101.X1:21", "XT3.24.1", "-QM102.13", "AP601-OD102.DO-01/X1.11", "QM1.KM838.11", "QM1.24.1", "xt3.24.1", "X1:7", "rimando 105", " KM5:a.b ", ".5", "QF2:3:4", "PLC1.DO-01/4", "-X2.PE"]
+ENDPOINTS = "concat(CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FORMS)) + " END, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS {s}) ELSE '' END) AS endpoint"
+
+
+@query(r"WITH e AS (SELECT DISTINCT " + ENDPOINTS.format(s="VARCHAR") + r""" FROM part), t AS (SELECT endpoint, trim(endpoint) AS t FROM e),
+c AS (SELECT *, regexp_matches(t, '^(-?[A-Za-z]+\d+(-[A-Za-z]+\d+)*)[.:/].*?[.:/]X\d+[.:]([\d.]+)$') AS c1, regexp_matches(t, '^(-?[A-Za-z]+\d+(-[A-Za-z]+\d+)*)[:.]X\d+[:.]([\d.]+)$') AS c2, length(regexp_extract(t, '^[^.:]*', 0)) AS i FROM t),
+p AS (SELECT *, CASE WHEN i > 0 AND i < length(t) THEN substring(t, i + 2) END AS pin0 FROM c)
+SELECT endpoint, CASE WHEN starts_with(lower(endpoint), 'rimando') THEN 'reference' WHEN regexp_matches(endpoint, '(?i)^-?x\d+[.:]|^-?xt\d+[.:]') THEN 'terminal' ELSE 'component' END AS class,
+CASE WHEN c1 OR c2 THEN regexp_extract(t, '^-?[A-Za-z]+\d+(-[A-Za-z]+\d+)*', 0) WHEN pin0 IS NOT NULL THEN substring(t, 1, i) ELSE t END AS component,
+CASE WHEN c1 OR c2 THEN regexp_extract(t, 'X\d+[.:]([\d.]+)$', 1) WHEN pin0 IS NULL THEN '' WHEN regexp_matches(pin0, '[A-Za-z]') AND regexp_matches(pin0, '[.:/][\d.]+$') THEN regexp_extract(pin0, '[.:/]([\d.]+)$', 1) ELSE pin0 END AS pin FROM p""")
 def endpoint_split(spark, d):
-    e = wires.complete(_wires(spark, d)).select(F.col("src").alias("endpoint")).distinct()
+    """Component and pin of endpoints in all their forms."""
+    e = table(spark, d, "part").selectExpr(ENDPOINTS.format(s="STRING")).distinct()
     c, p = wires.split_endpoint(F.col("endpoint"))
     return e.select("endpoint", wires.endpoint_class(F.col("endpoint")).alias("class"), c.alias("component"), p.alias("pin"))
 
