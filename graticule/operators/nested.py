@@ -12,7 +12,8 @@ Both passes are maps over rows; only the distinct list paths, part of the schema
 keys are hashes of (record id, path), equal in every run.
 
 Defined cases: null, empty and unreadable texts give no rows; a byte-order mark before the text is not part of it; a text
-that is itself a JSON string is read once more; null elements are counted in the ordinals and give no rows; repeated
+that is itself a JSON string is read again, as often as it was encoded; records may be nested to any depth, as every walk
+has its own stack; null elements are counted in the ordinals and give no rows; repeated
 records give their rows once per copy (callers that want sets use ``distinct``).
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +32,108 @@ from pyspark.sql import types as T
 ROWS = "record_id string, parent_key string, row_key string, table_path string, parent_path string, child_path string, ordinal int, content string"
 
 
+SPACE = re.compile(r"[ \t\r\n]*")
+NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?")
+#: The words of JSON, and those that its common writers add.
+WORDS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def parse(text: str):
+    """The value of a JSON text of any depth: the built-in parser, or one with its own stack where that runs out of calls."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str):
+    stack: list[tuple[list | dict, str | None]] = []  # open lists and objects, each with the name that waits for a value
+    at, end = SPACE.match(text).end(), len(text)
+    while True:
+        # a value begins at ``at``
+        c = text[at : at + 1]
+        if c and c in "[{":
+            new = [] if c == "[" else {}
+            at = SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == ("]" if c == "[" else "}"):
+                value, at = new, at + 1
+            else:
+                name = None
+                if c == "{":
+                    name, at = _name(text, at)
+                stack.append((new, name))
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif (word := next((w for w in WORDS if text.startswith(w, at)), None)) is not None:
+            value, at = WORDS[word], at + len(word)
+        elif m := NUMBER.match(text, at):
+            value, at = (float if m[1] or m[2] else int)(m.group()), m.end()
+        else:
+            raise ValueError("no value")
+        # the value ends; it may end what holds it
+        while True:
+            at = SPACE.match(text, at).end()
+            if not stack:
+                if at < end:
+                    raise ValueError("text after the value")
+                return value
+            holder, name = stack[-1]
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = SPACE.match(text, at + 1).end()
+                if isinstance(holder, dict):
+                    name, at = _name(text, at)
+                    stack[-1] = (holder, name)
+                break
+            if mark != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError("no end")
+            value, at = stack.pop()[0], at + 1
+
+
+def _name(text: str, at: int) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError("no name")
+    name, at = scanstring(text, at + 1, True)
+    at = SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError("no value of a name")
+    return name, SPACE.match(text, at + 1).end()
+
+
+def write(value) -> str:
+    """JSON of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list = [("v", value)]
+    while todo:
+        kind, x = todo.pop()
+        if kind == "t":
+            out.append(x)
+        elif isinstance(x, dict) and x:
+            parts = [part for i, (k, v) in enumerate(x.items()) for part in (("t", (", " if i else "{") + json.dumps(k, ensure_ascii=False) + ": "), ("v", v))]
+            todo += reversed([*parts, ("t", "}")])
+        elif isinstance(x, list) and x:
+            parts = [part for i, v in enumerate(x) for part in (("t", ", " if i else "["), ("v", v))]
+            todo += reversed([*parts, ("t", "]")])
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def read_json(text: str | None):
-    """The value of a JSON text, or None; a leading byte-order mark is skipped, an encoded text decoded once more."""
-    for _ in range(2):
-        if text is None:
-            return None
+    """The value of a JSON text, or None; a leading byte-order mark is skipped, a text that was encoded again is decoded as often."""
+    while text is not None:
         try:
-            value = json.loads(text.lstrip("﻿ \t\r\n"))
-        except (ValueError, RecursionError):
+            value = parse(text.lstrip("\ufeff \t\r\n"))
+        except ValueError:
             return None
         if not isinstance(value, str):
             return value
@@ -45,9 +141,16 @@ def read_json(text: str | None):
     return None
 
 
+def bare(shape: str) -> str:
+    """A key path without the marks of lists at its end."""
+    while shape.endswith("[]"):
+        shape = shape[:-2]
+    return shape
+
+
 def _encoded(value):
     """What a string holds if it is an encoded list or object, else None."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
+    if isinstance(value, str) and value.lstrip()[:1] in ("[", "{", '"'):
         inner = read_json(value)
         return inner if isinstance(inner, (list, dict)) else None
     return None
@@ -65,7 +168,7 @@ def list_paths(value) -> Iterator[str]:
             yield path
             todo += [(path + "[]", x) for x in v]
         elif isinstance(v, dict):
-            base = re.sub(r"(\[\])+$", "", path)
+            base = bare(path)
             todo += [(f"{base}.{k}" if base else k, x) for k, x in v.items()]
 
 
@@ -86,7 +189,7 @@ def explode_value(value, lists: set[str]) -> Iterator[tuple[str, str, str, int,
                 elif isinstance(x, (list, dict, str)):
                     todo.append((shape + "[]", at, parent, x))
         elif isinstance(v, dict):
-            base = re.sub(r"(\[\])+$", "", shape)
+            base = bare(shape)
             todo += [(f"{base}.{k}" if base else k, f"{path}.{k}" if path else k, parent, x) for k, x in reversed(list(v.items())) if x is not None]
 
 
@@ -116,7 +219,7 @@ def flatten_json(df: DataFrame, key: str, column: str, lists: set[str] | None =
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 value = read_json(text)
                 if value is not None:
-                    out += [(rid, s, p, c, i, json.dumps(own_fields(o, s, found), ensure_ascii=False)) for s, p, c, i, o in explode_value(value, found)]
+                    out += [(rid, s, p, c, i, write(own_fields(o, s, found))) for s, p, c, i, o in explode_value(value, found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()))], names=["record_id", "table_path", "parent_path", "child_path", "ordinal", "content"])
 
     flat = df.select(F.col(key).cast("string"), F.col(column).cast("string")).mapInArrow(rows, "record_id string, table_path string, parent_path string, child_path string, ordinal int, content string")
@@ -124,8 +227,21 @@ def flatten_json(df: DataFrame, key: str, column: str, lists: set[str] | None =
 
 
 def own_fields(obj: dict, shape: str, lists: frozenset[str]) -> dict:
-    base = re.sub(r"(\[\])+$", "", shape)
-    return {k: own_fields(v, p, lists) if isinstance(v, dict) else v for k, v in obj.items() if (p := f"{base}.{k}" if base else k) not in lists}
+    """An object without the lists that became child tables, at any depth."""
+    out: dict = {}
+    todo = [(obj, bare(shape), out)]
+    while todo:
+        own, base, to = todo.pop()
+        for k, v in own.items():
+            path = f"{base}.{k}" if base else k
+            if path in lists:
+                continue
+            if isinstance(v, dict):
+                to[k] = {}
+                todo.append((v, path, to[k]))
+            else:
+                to[k] = v
+    return out
 
 
 def surrogate(record: str, path: str):

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graticule.operators import compare, nested, widen
@@ -108,3 +109,24 @@ def test_compare_any_number_of_buckets(spark):
 def test_compare_sees_swapped_nulls(spark):
     make = lambda *member: [("k", "s", 0.5, "t", {"data": member}, "d", "n", AT)]
     assert sides(spark, make("x", None, True, 0.5), make(None, "x", True, 0.5)) == [("k", "differs", "data.folder_value"), ("k", "differs", "data.table_value")]
+
+
+def test_deep_and_repeatedly_encoded_records(spark):
+    deep = lambda n: '{"rows": [' + '{"a": ' * n + '{"b": [{"c": 1}]}' + "}" * n + "]}"
+    thrice = json.dumps(json.dumps(json.dumps({"rows": [{"x": 1}, {"x": 2}]})))
+    rows = [("d1", deep(2_000)), ("d2", deep(20_000)), ("t", thrice), ("bad", '{"rows": [{"a": ' * 3_000), ("two", '{"rows": []} x')]
+    got = nested.flatten_json(spark.createDataFrame(rows, "id string, v string"), "id", "v").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["record_id"], []).append(r)
+    assert set(by) == {"d1", "d2", "t"} and sorted(r["child_path"] for r in by["t"]) == ["rows[0]", "rows[1]"]
+    for name, n in (("d1", 2_000), ("d2", 20_000)):
+        outer, inner = sorted(by[name], key=lambda r: len(r["child_path"]))
+        assert outer["child_path"] == "rows[0]" and inner["parent_key"] == outer["row_key"]
+        assert inner["child_path"] == "rows[0]." + "a." * n + "b[0]" and inner["content"] == '{"c": 1}'
+        assert outer["content"].count('"a"') == n
+    values = [1, -2.5, "x\ny", None, True, [], {}, [[1], {"k": ["é", {}]}], 1e20]
+    assert nested._parse_deep(json.dumps(values)) == values
+    for broken in ('{"a"}', "[1,]", "[1 2]", "", '{"a":1,}', "[", "nul", '{1: 2}', '"a', "[1]]"):
+        with pytest.raises(ValueError):
+            nested._parse_deep(broken)
