@@ -234,6 +234,47 @@ def test_new_lines(spark):
     assert new_text(spark, []) == {}
 
 
+def thread_of_copies():
+    anna, luca = '"Rossi Anna" <anna.rossi@acme.test>', "l.verdi@beta.test"
+    old = "il quadro della cabina sud va spostato accanto al muro del magazzino\ne i cavi grigi restano dove sono finché non arriva la ditta"
+    said = ["Il tubo lungo non entra nel cassone piccolo", "Domani passa il muratore per vedere la porta", "Nessuno ha la chiave del cancello verde", "La scala di legno è ancora rotta"]
+    foot = "\n\nSaluti\nLuca Verdi\nufficio collaudi e prove\nmessaggio letto dalla nostra segretaria"
+    rows = [("m0", "Cabina", anna, luca, old, None, None, AT)]
+    rows += [(f"m{i + 1}", "Re: Cabina", luca, anna, text + "\n\n" + old.replace("muro del", "muro\ndel") + foot, None, None, AT + dt.timedelta(days=i + 1)) for i, text in enumerate(said)]
+    # the same person without closing words: only the dictionary of closings shows the end
+    rows += [("n0", "Altro", luca, anna, "Il tetto perde acqua\nLuca Verdi\nufficio collaudi e prove\nmessaggio letto dalla nostra segretaria", None, None, AT)]
+    # another thread may say the same; it is no copy there
+    return rows + [("o", "Vicino", luca, anna, old, None, None, AT + dt.timedelta(days=9))]
+
+
+def test_copies_without_numbers_and_learned_closings(spark):
+    got = new_text(spark, thread_of_copies())
+    # closing words below a copy count as its own
+    assert got == {"m0": {1, 2}, "n0": {1}, "o": {1, 2}} | {f"m{i}": {1} for i in range(1, 5)}
+
+
+def test_compression_decides(spark, monkeypatch):
+    rows = thread_of_copies()
+    # without dictionaries the pasted text and the closings are taken for new
+    class Nothing(emails.Dictionary):
+        def __init__(self, parts):
+            super().__init__([])
+
+    copied = sum(len(b[4].split("\n")) for b in rows)
+    lines = lambda limit, kind: sum(len(emails.new_lines(*emails.parsed(r[4]), r[2], kind([rows[0][4]] if r[0][0] == "m" and r[0] != "m0" else []), kind([]), emails.gains(emails.parsed(r[4])[0], emails.asking(*emails.parsed(r[4])), kind([rows[0][4]])), limit)) for r in rows)
+    own = lines(0.6, emails.Dictionary)
+    assert own < lines(0.6, Nothing) == lines(9, emails.Dictionary) <= copied
+    assert lines(0.6, Nothing) - own >= 0.1 * copied
+
+
+def test_gains_part_where_their_classes_do():
+    assert 0.4 < emails.threshold({}) < 0.8
+    assert 0.3 < emails.threshold({10: 900, 12: 500, 20: 30, 46: 300, 48: 500}) < 0.9
+    rnd = random.Random(11)
+    text = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000))
+    assert emails.gain(text, [text[:40_000], text[40_000:]]) > 0.8 and emails.gain("", ["x"]) == 0 and emails.gain("abc", []) == 0
+
+
 def test_personal_data(spark):
     body = "Ciao Marta,\nscrivi a m.rossi+x@acme.test o (0841) 462 6968.\nIl badge va intestato a Polrossi Irene, C.F. ZPB MFB 58B06 G228M, residente in via Colle Verdino n. 12 - 20100 Pian di Selce (XA).\nIl cavo rosa va qui, misura 330.120.4500 mm, protocollo 2024/599544-25. La fattura va a stefano bianchi, Lindenweg 65."
     rows = [("a", None, "Marta Verdi <mv@acme.test>", None, body, "Ciao Marta, scrivi a m.rossi+x@acme.test", None, AT), ("a", None, "Marta Verdi <mv@acme.test>", None, body, "Ciao Marta, scrivi a m.rossi+x@acme.test", None, AT), ("b", None, None, None, None, None, None, None), ("c", None, None, None, "", "", None, AT)]
