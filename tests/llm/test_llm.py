@@ -290,6 +290,36 @@ def test_personal_data(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_disclosure_is_learned_and_decides(spark, monkeypatch):
+    people = ["Anna Rossi", "Luca Verdi", "Marta Bianchi", "Piero Neri"]
+    rows = []
+    for i in range(40):
+        who = people[i % 4]
+        rows.append((f"m{i}", None, f"{who} <{i % 4}@acme.test>", None, f"Ieri ho incontrato {who.split()[0]} al bar. La Marca resta uguale. Domani torna la Marca. Il Quadro è pronto.", None, None, AT))
+    rows.append(("x", None, None, None, "Ieri ho incontrato Zork al bar.", "Il Quadro è di Zork", None, AT))
+    df = spark.createDataFrame(rows, MAIL)
+    found = lambda: {r["pii_text"] for r in pii.find(df).collect() if r["pii_type"] == "NAME"}
+    assert found() == {"Anna", "Luca", "Marta", "Piero", "Zork"}
+    monkeypatch.setattr(pii, "BITS", -99.0)
+    assert found() > {"Anna", "Luca", "Marta", "Piero", "Zork"}
+    monkeypatch.setattr(pii, "BITS", 99.0)
+    assert found() == set()
+
+
+def test_flat_places():
+    raw = "<p>A&amp;B</p>\r\n<p>&gt; c  d</p>"
+    flat = pii.Flat(raw)
+    at = flat.text.index("d")
+    assert raw[slice(*flat.slice(at, at + 1))] == "d" and raw[slice(*flat.slice(flat.text.index("&"), flat.text.index("B") + 1))] == "&amp;B"
+    rnd = random.Random(12)
+    for _ in range(200):
+        raw = "".join(rnd.choices(["a", "Bc", " ", "\n", "\r\n", "> ", "|", "\t", "é", "\u00a0"], k=30))
+        flat = pii.Flat(raw)
+        for i, c in enumerate(flat.text):
+            x, y = flat.slice(i, i + 1)
+            assert x < y and (raw[x:y] == c or c.isspace())
+
+
 # ---- linkage
 
 def test_linkage(spark):
