@@ -32,6 +32,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -303,13 +304,16 @@ class Dictionary:
 
     def __init__(self, parts: Iterable[str]):
         self.parts = [" ".join(w for x in p.split() if (w := x.strip(STRIP).lower())) for p in parts]
-        self.runs: set[tuple[str, ...]] = set()
-        self.short: set[str] = set()
+        self.short = set(self.parts)
+        self.known: dict[str, bool] = {}
+
+    @cached_property
+    def runs(self) -> set[tuple[str, ...]]:
+        out: set[tuple[str, ...]] = set()
         for p in self.parts:
             ws = p.split()
-            self.short.add(p)
-            self.runs.update(zip(*(ws[k:] for k in range(RUN))))
-        self.known: dict[str, bool] = {}
+            out.update(zip(*(ws[k:] for k in range(RUN))))
+        return out
 
     def covered(self, words: list[str]) -> list[bool]:
         """Which words lie in runs of RUN words that the dictionary has too."""
