@@ -1,25 +1,28 @@
 """Differences between two copies of data (problem 7).
 
 A checksum matrix of key buckets by columns is built on each side: additive hashes, 2 x 64 bits wide, summed per bucket
-and column. Buckets whose sums are equal hold equal data; only the rows of unequal buckets are read again, joined and
-compared in all columns.
+and column. Buckets whose sums are equal hold equal data. Only the rows of unequal buckets are read again, with the values
+of the columns that are unequal in their bucket (the others are null from the scan on), joined and compared.
 
-The latest version of a key is a combinable aggregate, so a key with a third of all rows is reduced before the shuffle.
-The matrix has a row per bucket, never per key, and is joined, not collected.
+The first reading shuffles no values: the latest version of a key is the greatest (time, hashes of its columns), a
+combinable aggregate over hashes, so a key with a third of all rows is reduced before the shuffle. The matrix has a row per
+bucket, never per key, and is joined, not collected; what is collected is the list of columns that are unequal anywhere.
 
-Defined cases: a null key is a key; of versions with the same time the greatest row in the order of the columns counts;
-a null time is the earliest; empty tables make all keys of the other side missing; columns other than those named are ignored.
+Defined cases: a null key is a key; of versions with the same time the one with the greatest hashes counts, on both sides
+alike; a null time is the earliest; empty tables make all keys of the other side missing; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graticule.session import checkpointed
+
 TOLERANCE = 1e-9
+#: Unequal buckets, about 100 bytes each, up to which their list is broadcast.
+LIST = 200_000
 MEMBERS = ("table_value", "folder_value", "matched", "similarity")
 
 
@@ -33,29 +36,37 @@ def _entries(col: Column) -> Column:
     return F.when(F.size(sorted_) > 0, sorted_)
 
 
-def latest(df: DataFrame, key: str, columns: list[str], maps: list[str], at: str) -> DataFrame:
-    """One row per key, its version of the latest time; maps as sorted entries."""
-    row = F.struct(*[F.col(c) for c in columns], *[_entries(F.col(c)).alias(c) for c in maps])
-    best = df.select(F.col(key).alias("_key"), F.col(at).alias("_at"), row.alias("_row")).groupBy("_key").agg(F.max(F.struct("_at", "_row")).alias("_best"))
-    return best.select("_key", *[F.col("_best")["_row"][c].alias(c) for c in [*columns, *maps]])
+def _form(c: str, kind: str, maps: list[str]) -> Column:
+    """A column as it is compared: maps as their sorted entries."""
+    return _entries(F.col(c)) if c in maps else F.col(c)
+
+
+def _hash(value: Column, kind: str, seed: int) -> Column:
+    """A hash that sees nulls: xxhash64 passes over those within a value, JSON with its null fields shows where they stand."""
+    text = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}) if kind.startswith(("array", "struct", "map")) else value
+    return F.xxhash64(F.lit(seed), value.isNull(), text)
+
+
+def hashed(df: DataFrame, key: str, columns: list[str], maps: list[str], at: str, buckets: int) -> DataFrame:
+    """(_bucket, _a, _b, _at, _h): of every row its key's bucket and hash of 128 bits, its time and its columns' hashes."""
+    kinds = dict(df.dtypes)
+    k = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null"))
+    h = F.struct(*[_hash(_form(c, kinds[c], maps), kinds[c], 11).alias(c) for c in [*columns, *maps]])
+    return df.select(bucket(F.col(key), buckets).alias("_bucket"), F.xxhash64(k).alias("_a"), F.xxhash64(F.lit(5), k).alias("_b"), F.col(at).alias("_at"), h.alias("_h"))
 
 
-def checksum_matrix(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """(_bucket, n, one struct of two sums per column): additive, so partial sums combine before the shuffle."""
-    # xxhash64 passes over nulls within a value, JSON with its null fields shows where they stand
-    nested = {c for c, t in rows.dtypes if t.startswith(("array", "struct", "map"))}
-    value = lambda c: F.to_json(c, {"ignoreNullFields": "false"}) if c in nested else F.col(c)
-    wide = lambda c: [F.sum(F.xxhash64(F.lit(seed), F.col("_key"), F.col(c).isNull(), value(c)).cast("decimal(20,0)")) for seed in (11, 12)]
-    return rows.groupBy(bucket(F.col("_key"), buckets).alias("_bucket")).agg(F.count("*").alias("_n"), *[F.concat_ws("|", *[s.cast("string") for s in wide(c)]).alias(c) for c in columns])
+def checksum_matrix(df: DataFrame, key: str, columns: list[str], maps: list[str], at: str, buckets: int) -> DataFrame:
+    """(_bucket, _n, _key and one text of two sums per column) of the latest versions."""
+    best = hashed(df, key, columns, maps, at, buckets).groupBy("_bucket", "_a", "_b").agg(F.max(F.struct("_at", "_h")).alias("_v"))
+    wide = lambda *parts: F.concat_ws("|", *[F.sum(F.xxhash64(F.lit(seed), "_a", "_b", *parts).cast("decimal(20,0)")).cast("string") for seed in (11, 12)])
+    return best.groupBy("_bucket").agg(F.count("*").alias("_n"), wide().alias("_key"), *[wide(F.col("_v")["_h"][c]).alias(c) for c in [*columns, *maps]])
 
 
-def unequal(left: DataFrame, right: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """(_bucket): the buckets in which any column differs."""
-    a, b = checksum_matrix(left, ["_key", *columns], buckets).alias("a"), checksum_matrix(right, ["_key", *columns], buckets).alias("b")
-    both = a.join(b, F.col("a._bucket") == F.col("b._bucket"), "full")
-    keys = ~F.col("a._key").eqNullSafe(F.col("b._key")) | ~F.col("a._n").eqNullSafe(F.col("b._n"))
-    differing = reduce(or_, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns], keys)
-    return both.filter(differing).select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"))
+def unequal(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """(_bucket, _columns): the buckets of two matrices that differ, and the columns in which they do."""
+    both = left.alias("a").join(right.alias("b"), F.col("a._bucket") == F.col("b._bucket"), "full")
+    different = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in ["_key", *columns]]))
+    return both.select(F.coalesce("a._bucket", "b._bucket").alias("_bucket"), different.alias("_columns")).filter(F.size("_columns") > 0)
 
 
 def _differ(a: Column, b: Column, kind: str) -> Column:
@@ -77,12 +88,18 @@ def compare(left: DataFrame, right: DataFrame, key: str = "primary_key", columns
         buckets = max(1 << 10, min(1 << 22, size // 4096))
     kinds = dict(left.dtypes)
     everything = [*columns, *maps]
-    found = unequal(latest(left, key, columns, maps, at), latest(right, key, columns, maps, at), everything, buckets)
+    found = checkpointed(unequal(*(checksum_matrix(x, key, columns, maps, at, buckets) for x in (left, right)), everything))  # read for the columns and by both sides
+    open_ = {r[0] for r in found.select(F.explode("_columns")).distinct().collect()}
+    # a short list of buckets goes to the rows, else the rows go to their buckets; the result is the same
+    found = F.broadcast(found) if found.count() <= LIST else found
 
     def again(df: DataFrame) -> DataFrame:
-        # only rows of unequal buckets reach the aggregate that picks versions, and the join
-        marked = df.withColumn("_bucket", bucket(F.col(key), buckets)).join(found, "_bucket", "left_semi")
-        return latest(marked, key, columns, maps, at)
+        # rows of unequal buckets with their unequal values; versions are picked by the hashes of all columns, as before
+        h = F.struct(*[_hash(_form(c, kinds[c], maps), kinds[c], 11).alias(c) for c in everything])
+        marked = df.select(F.col(key).alias("_key"), F.col(at).alias("_at"), h.alias("_h"), *[_form(c, kinds[c], maps).alias(c) for c in everything], bucket(F.col(key), buckets).alias("_bucket")).join(found, "_bucket")
+        value = lambda c: F.when(F.array_contains("_columns", c), F.col(c)) if c in open_ else F.lit(None).cast(marked.schema[c].dataType)
+        best = marked.groupBy("_key").agg(F.max_by(F.struct(*[value(c).alias(c) for c in everything]), F.struct("_at", "_h")).alias("_row"))
+        return best.select("_key", *[F.col("_row")[c].alias(c) for c in everything])
 
     a, b = again(left).withColumn("_here", F.lit(True)).alias("a"), again(right).withColumn("_here", F.lit(True)).alias("b")
     pairs = a.join(b, F.col("a._key").eqNullSafe(F.col("b._key")), "full")
