@@ -43,28 +43,60 @@ def last_by_key(df: DataFrame, key: str, order: list[str], keep: list[str]) -> D
     return agg.select(key, F.col("_p").getField(order[0]).alias("pos"), *[F.col("_f")[c].alias(c) for c in keep])
 
 
+#: Tokens of a key up to which its sets of tokens are listed.
+LISTED = 10
+
+
+def _token_sets(df: DataFrame, toks: str, threshold: float) -> DataFrame:
+    """The rows with each set of their tokens that a match at the threshold can share (``sub``, of ``s`` tokens)."""
+    n = F.size(toks)
+    least = F.ceil(n * F.lit(threshold) - F.lit(1e-9))
+    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m) >= least)
+    rows = df.filter((n > 0) & (n <= LISTED)).withColumn("_m", F.explode(masks))
+    sub = F.expr(f"array_join(filter({toks}, (t, i) -> shiftright(_m, i) % 2 = 1), '\\u0001')")
+    return rows.withColumns({"sub": sub, "s": F.bit_count("_m").cast("int"), "n": n}).drop("_m")
+
+
 def best_match(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(t_key, f_key, score): for each left key the right key of the highest token similarity, the earliest of equals.
 
-    left: t_key; right: f_key, pos. Keys meet on shared tokens only, rarest first: of a key with n tokens, a partner at
-    the threshold must share one of the n - ceil(threshold * n) + 1 rarest, so frequent tokens never form candidates.
+    left: t_key; right: f_key, pos. A match shares a set of s tokens; of all right keys with m tokens that hold this set
+    only the earliest can be the best, so the right keys are first reduced to one per (set, m). The left keys meet these
+    through their own sets: the score s / (n + m - s) of the whole intersection is the greatest. No set emits pairs, and
+    a token that stands in all keys costs a row per key. Keys of more than ``LISTED`` tokens meet on their rarest tokens.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0; at 0 every key matches the first one")
-    a = left.select("t_key", tokens(F.col("t_key")).alias("ta"))
-    b = right.select("f_key", "pos", tokens(F.col("f_key")).alias("tb"))
+    a = left.select("t_key", F.array_sort(tokens(F.col("t_key"))).alias("ta"))
+    b = right.select("f_key", "pos", F.array_sort(tokens(F.col("f_key"))).alias("tb"))
+    first = _token_sets(b, "tb", threshold).groupBy("sub", F.col("n").alias("m")).agg(F.min(F.struct("pos", "f_key")).alias("r"))
+    met = _token_sets(a, "ta", threshold).select("t_key", "sub", "s", "n").join(first, "sub")
+    score = F.col("s").cast("double") / (F.col("n") + F.col("m") - F.col("s"))
+    listed = met.select("t_key", "r.f_key", "r.pos", score.alias("score")).filter(F.col("score") >= threshold)
+    # keys without a token are alike
+    empty = a.filter(F.size("ta") == 0).select("t_key", F.lit(1).alias("_e")).join(b.filter(F.size("tb") == 0).agg(F.min(F.struct("pos", "f_key")).alias("m")).filter("m is not null").select(F.lit(1).alias("_e"), "m"), "_e").select("t_key", F.col("m.f_key").alias("f_key"), F.col("m.pos").alias("pos"), F.lit(1.0).alias("score"))
+    scored = listed.unionByName(_long_keys(a, b, threshold)).unionByName(empty)
+    return scored.groupBy("t_key").agg(F.min(F.struct(-F.col("score"), "pos", "f_key")).alias("_b")).select("t_key", F.col("_b.f_key").alias("f_key"), (-F.col("_b.col1")).alias("score"))
+
+
+def _long_keys(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """Scored pairs of which a side has more than ``LISTED`` tokens.
+
+    Of a key with n tokens, a partner at the threshold shares one of the n - ceil(threshold * n) + 1 rarest; a partner's
+    number of tokens lies between threshold * n and n / threshold.
+    """
+    least = LISTED * threshold  # shorter keys have no partner that long
+    a, b = a.filter(F.size("ta") > least), b.filter(F.size("tb") > least)
     words = a.select(F.explode("ta").alias("w")).unionAll(b.select(F.explode("tb").alias("w"))).groupBy("w").count()
 
     def prefix(df: DataFrame, key: str, toks: str) -> DataFrame:
-        ranked = df.select(key, F.explode(toks).alias("w")).join(words, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "w"))).alias("r"))
+        ranked = df.select(key, F.size(toks).alias("n"), F.explode(toks).alias("w")).join(words, "w").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("count", "w"))).alias("r"))
         take = F.size("r") - F.ceil(F.size("r") * F.lit(threshold) - F.lit(1e-9)) + 1
-        return ranked.select(key, F.explode(F.slice("r", F.lit(1), take.cast("int"))).alias("x")).select(key, F.col("x.w").alias("w"))
+        return ranked.select(key, F.col("n").alias(f"n_{key}"), F.explode(F.slice("r", F.lit(1), take.cast("int"))).alias("x")).select(key, f"n_{key}", F.col("x.w").alias("w"))
 
-    pairs = prefix(a, "t_key", "ta").join(prefix(b, "f_key", "tb"), "w").select("t_key", "f_key").distinct()
-    scored = pairs.join(a, "t_key").join(b, "f_key").withColumn("score", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("score") >= threshold).select("t_key", "f_key", "pos", "score")
-    # keys without a token are alike
-    empty = a.filter(F.size("ta") == 0).select("t_key", F.lit(1).alias("_e")).join(b.filter(F.size("tb") == 0).agg(F.min(F.struct("pos", "f_key")).alias("m")).filter("m is not null").select(F.lit(1).alias("_e"), "m"), "_e").select("t_key", F.col("m.f_key").alias("f_key"), F.col("m.pos").alias("pos"), F.lit(1.0).alias("score"))
-    return scored.unionByName(empty).groupBy("t_key").agg(F.min(F.struct(-F.col("score"), "pos", "f_key")).alias("_b")).select("t_key", F.col("_b.f_key").alias("f_key"), (-F.col("_b.col1")).alias("score"))
+    met = prefix(a, "t_key", "ta").join(prefix(b, "f_key", "tb"), "w").filter((F.greatest("n_t_key", "n_f_key") > LISTED) & (F.least("n_t_key", "n_f_key") >= threshold * F.greatest("n_t_key", "n_f_key")))
+    pairs = met.select("t_key", "f_key").distinct()
+    return pairs.join(a, "t_key").join(b, "f_key").withColumn("score", jaccard(F.col("ta"), F.col("tb"))).filter(F.col("score") >= threshold).select("t_key", "f_key", "pos", "score")
 
 
 def reconcile(table: DataFrame, folder: DataFrame, settings: Settings = Settings(), prefix: str | None = None) -> DataFrame:

@@ -104,29 +104,72 @@ def complete(df: DataFrame) -> DataFrame:
     return df.filter(ok).withColumns({"src": unique_reference(mark_reference(F.col("src")), F.col("sheet")), "dst": unique_reference(mark_reference(F.col("dst")), F.col("sheet"))})
 
 
-SCORED = ("cable", "gauge", "color", "note")
+SCORED = ("cable", "gauge", "color", "length_mm", "terminal_a", "terminal_b", "note")
 
 
-def populated(columns: tuple[str, ...] = SCORED) -> Column:
-    return sum((F.when(trimmed(F.col(c)) != "", 1).otherwise(0) for c in columns), F.lit(0))
+def filled(c: Column, kind: str) -> Column:
+    """1 for a text that isn't blank and for a finite number, else 0."""
+    if kind == "string":
+        return F.when(trimmed(c) != "", 1).otherwise(0)
+    return F.when(F.abs(c.cast("double")) < float("inf"), 1).otherwise(0)
 
 
-def merge_duplicates(df: DataFrame) -> DataFrame:
-    """Wires of equal id and ends as one, folded in order: a later wire replaces the kept one if more of its fields are filled; notes are joined.
+def populated(df: DataFrame, columns: tuple[str, ...] = SCORED) -> Column:
+    kinds = dict(df.dtypes)
+    return sum((filled(F.col(c), kinds[c]) for c in columns if c in kinds), F.lit(0))
 
-    The fold depends on the order, so the wires of one connection (its repeats on the sheets) are folded in one array.
+
+def merge_duplicates(df: DataFrame, order: str = "ord") -> DataFrame:
+    """Wires of equal id and ends as one, folded in order: a later wire replaces the kept one if more of its fields are filled.
+
+    Notes are joined, and the joined note counts as the kept wire's; all other columns follow the winner, ``order`` is the
+    first one's. The fold depends on the order, so the wires of one connection (its repeats on the sheets) are folded in
+    one array; equal orders are told apart by the other columns.
     """
-    base = populated(SCORED[:-1])
-    row = F.struct(F.col("ord"), base.alias("base"), trimmed(F.coalesce("note", F.lit(""))).alias("note"), "cable", "gauge", "color")
+    rest = [c for c in df.columns if c not in ("id", "src", "dst", order, "note")]
+    base = populated(df, tuple(c for c in SCORED if c != "note"))
+    row = F.struct(F.col(order).alias("_o"), base.alias("_s"), F.coalesce("note", F.lit("")).alias("note"), *rest)
 
     def step(acc: Column, x: Column) -> Column:
-        better = x["base"] + F.when(x["note"] != "", 1).otherwise(0) > acc["base"] + F.when(acc["note"] != "", 1).otherwise(0)
+        score = lambda y: y["_s"] + F.when(trimmed(y["note"]) != "", 1).otherwise(0)
+        better = score(x) > score(acc)
         note = F.concat_ws(" | ", F.when(acc["note"] != "", acc["note"]), F.when(x["note"] != "", x["note"]))
-        pick = lambda c: F.when(better, x[c]).otherwise(acc[c])
-        return F.struct(acc["ord"].alias("ord"), pick("base").alias("base"), note.alias("note"), pick("cable").alias("cable"), pick("gauge").alias("gauge"), pick("color").alias("color"))
+        pick = lambda c: F.when(better, x[c]).otherwise(acc[c]).alias(c)
+        return F.struct(acc["_o"].alias("_o"), pick("_s"), note.alias("note"), *[pick(c) for c in rest])
 
     rows = df.groupBy("id", "src", "dst").agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    return rows.withColumn("_f", F.aggregate(F.slice("_r", F.lit(2), F.size("_r")), F.col("_r")[0], step)).select("id", "src", "dst", "_f.ord", "_f.note", "_f.cable", "_f.gauge", "_f.color")
+    out = rows.withColumn("_f", F.aggregate(F.slice("_r", F.lit(2), F.size("_r")), F.col("_r")[0], step))
+    return out.select("id", "src", "dst", F.col("_f._o").alias(order), "_f.note", *[F.col("_f")[c].alias(c) for c in rest])
+
+
+def marked_notes(df: DataFrame) -> DataFrame:
+    """Bare coordinates as references, each with a note of its value."""
+    note = lambda c: F.when(numeric_coordinate(F.col(c)), F.concat(F.lit("rimando/coord: "), trimmed(F.col(c))))
+    return df.withColumns({"note": F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")), note("src"), note("dst")), "src": mark_reference(F.col("src")), "dst": mark_reference(F.col("dst"))})
+
+
+def touching_references(df: DataFrame) -> DataFrame:
+    """Of the pages of other panels only wires with a reference go on."""
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("rimando"))
+    return df.filter(has("src") | has("dst"))
+
+
+def with_panel_flag(own: DataFrame, other: DataFrame) -> DataFrame:
+    """A panel's wires and those of other panels that touch a reference, each with the flag ``panel``."""
+    return own.withColumn("panel", F.lit(True)).unionByName(touching_references(other).withColumn("panel", F.lit(False)))
+
+
+def correct_blocks(df: DataFrame) -> DataFrame:
+    """Endpoints whose terminal block misses its first digit, rewritten by ``suffix_corrections`` in one pass."""
+    name = lambda c: F.upper(F.regexp_extract(c, r"(?i)^-?(XT\d+)", 1))
+    ends = F.explode(F.array(F.struct(name("src").alias("name"), F.lit(0).alias("side")), F.struct(name("dst").alias("name"), F.lit(1).alias("side"))))
+    names = df.select("ord", ends.alias("e")).filter("e.name <> ''").select("e.name", F.struct("ord", "e.side").alias("ord"))
+    fixes = suffix_corrections(names)
+    out = df
+    for c in ("src", "dst"):
+        out = out.withColumn("_n", name(c)).join(fixes.select(F.col("name").alias("_n"), "corrected"), "_n", "left")
+        out = out.withColumn(c, F.when(F.col("corrected").isNull(), F.col(c)).otherwise(F.concat(F.regexp_extract(c, "^-?", 0), "corrected", F.regexp_extract(c, r"(?i)^-?XT\d+(.*)$", 1)))).drop("_n", "corrected")
+    return out.select(*df.columns)
 
 
 def suffix_corrections(names: DataFrame) -> DataFrame:
@@ -262,11 +305,92 @@ def schema_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(end("a").alias("source"), end("b").alias("target"), F.col("id").alias("wire_id"))
 
 
+def graph_nodes(wires: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(node, kind, page, label, color): each component once, with the page of the first wire that names it.
+
+    components: ref, description, ord; the last description that isn't empty, cut at 30 characters, follows the label.
+    """
+    end = lambda c, side: F.struct(base_reference(F.col(c)).alias("node"), F.lit(side).alias("side"))
+    ends = wires.select("ord", "page", F.explode(F.array(end("src", 0), end("dst", 1))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.min_by("page", F.struct("ord", "e.side")).alias("page")).withColumn("kind", component_kind(F.col("node")))
+    colors = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])
+    label = F.col("node")
+    if components is not None:
+        told = components.filter((F.col("ref") != "") & (F.col("description") != "")).groupBy(base_reference(F.col("ref")).alias("node")).agg(F.max_by("description", "ord").alias("_d"))
+        nodes = nodes.join(told, "node", "left")
+        label = F.when(F.col("_d").isNull(), label).otherwise(F.concat(label, F.lit("\\n"), F.substring("_d", 1, 30)))
+    return nodes.select("node", "kind", "page", label.alias("label"), colors[F.col("kind")].alias("color"))
+
+
 def dot_lines(edges: DataFrame) -> DataFrame:
-    """Graph description lines, each edge once."""
+    """Graph description lines of the edges, each once."""
     return edges.dropDuplicates(["source", "target", "wire_id"]).select(F.concat(F.lit('  "'), "source", F.lit('" -> "'), "target", F.lit('" [label="'), "wire_id", F.lit('"];')).alias("line"))
 
 
+def dot_node_lines(nodes: DataFrame) -> DataFrame:
+    """Graph description lines of the nodes."""
+    label = F.replace(F.col("label"), F.lit('"'), F.lit('\\"'))
+    return nodes.select(F.concat(F.lit('  "'), "node", F.lit('" [label="'), label, F.lit('", fillcolor="'), "color", F.lit('"];')).alias("line"))
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, json): the graph for a viewer, an object per row; edges stay as often as they are."""
+    n = F.to_json(F.struct(F.col("node").alias("id"), F.col("kind").alias("type"), F.replace(F.col("label"), F.lit("\\n"), F.lit("\n")).alias("label"), "color"))
+    e = F.to_json(F.struct("source", "target", F.col("wire_id").alias("wireId"), F.when(F.col("wire_id") != "", F.concat(F.lit("Filo "), "wire_id")).otherwise("").alias("label")))
+    return nodes.select(F.lit("node").alias("part"), n.alias("json")).unionByName(edges.select(F.lit("edge").alias("part"), e.alias("json")))
+
+
+# ---- sheets of the wire report; an empty one has one blank row
+
+def _or_blank(df: DataFrame, **values: str) -> DataFrame:
+    """The rows, or one blank row (with these values) if there is none."""
+    one = df.sparkSession.range(1).select(*[F.lit(values.get(c, "")).cast(t).alias(c) if t == "string" else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+    return df.unionByName(one.join(df.limit(1).select(F.lit(1).alias("_x")), how="left_anti", on=F.lit(True)))
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def wire_sheet(wires: DataFrame) -> DataFrame:
+    """The wire list: both ends as component and pin, apart and in one cell."""
+    (fc, fp), (tc, tp) = split_endpoint(_text("src")), split_endpoint(_text("dst"))
+    cell = lambda c, p: F.when(p != "", F.concat(c, F.lit(" | "), p)).otherwise(c)
+    more = [_text(c).alias(a) for c, a in (("cable", "cavo"), ("gauge", "sezione"), ("color", "colore"), ("length_mm", "lunghezza_mm"), ("terminal_a", "terminale_a"), ("terminal_b", "terminale_b"), ("page", "pagina"), ("note", "note")) if c in wires.columns]
+    return _or_blank(wires.select(_text("id").alias("id"), fc.alias("da"), fp.alias("pin_da"), cell(fc, fp).alias("da_inizio"), tc.alias("a"), tp.alias("pin_a"), cell(tc, tp).alias("a_fine"), *more))
+
+
+def component_sheet(components: DataFrame) -> DataFrame:
+    names = (("ref", "rif"), ("description", "descrizione"), ("quantity", "quantita"), ("manufacturer", "produttore"), ("part_number", "codice"), ("location", "posizione"), ("wires", "fili_associati"), ("page", "pagina"), ("note", "note"))
+    return _or_blank(components.select(*[_text(c).alias(a) for c, a in names if c in components.columns]))
+
+
+def label_sheet(wires: DataFrame) -> DataFrame:
+    """A row for each end of each wire, with its component and pin."""
+    ends = F.array(F.struct(F.lit("A").alias("estremita"), _text("src").alias("sigla")), F.struct(F.lit("B").alias("estremita"), _text("dst").alias("sigla")))
+    rows = wires.select(_text("id").alias("id_filo"), _text("note").alias("note"), F.explode(F.filter(ends, lambda e: e["sigla"] != "")).alias("e")).select("id_filo", "note", "e.*")
+    c, p = split_endpoint(F.col("sigla"))
+    return _or_blank(rows.select(c.alias("componente"), p.alias("pin"), "sigla", "id_filo", "estremita", "note"), note="Nessun filo estratto")
+
+
+def text_sheet(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, riga, testo): the numbered lines of a text."""
+    return df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("riga", "testo")).withColumn("riga", F.col("riga") + 1)
+
+
+def split_suffix(df: DataFrame, column: str = "ref") -> DataFrame:
+    """References with a terminal behind a separator lose it; it becomes a note."""
+    pattern = r"^(-?[A-Za-z0-9]+)[:\\/](.*)$"
+    split = F.col(column).rlike(pattern)
+    note = F.concat_ws(" | ", F.when(F.col("note") != "", F.col("note")), F.when(split, F.concat(F.lit("terminale/suffisso: "), trimmed(F.regexp_extract(column, pattern, 2)))))
+    return df.withColumns({"note": note, column: F.when(split, F.regexp_extract(column, pattern, 1)).otherwise(F.col(column))})
+
+
+def page_order(name: Column) -> list[Column]:
+    """Page images by the number at the end of their names, those without one first, then by name."""
+    return [F.coalesce(F.regexp_extract(name, r"-(\d+)\.png$", 1).try_cast("bigint"), F.lit(0).cast("bigint")).asc(), name.asc()]
+
+
 def panel_key(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s+\-]", ""))
 
