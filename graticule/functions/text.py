@@ -91,3 +91,48 @@ def csv_cell(c: Column, kind: str) -> Column:
     falsy = c.isNull() | ((c == 0) if kind in ("int", "bigint", "double", "smallint") or kind.startswith("decimal") else (~c) if kind == "boolean" else (c == ""))
     quoted = F.concat(F.lit('"'), F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return F.when(F.coalesce(falsy, F.lit(True)), F.lit('""')).otherwise(quoted if kind == "string" else c.cast("string"))
+
+
+def capitalised(c: Column) -> Column:
+    """The first letter in upper case, the rest as it is."""
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1))
+
+
+def percent(c: Column) -> Column:
+    """A share of 100 as a whole number from 0 to 100."""
+    return F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(100).cast("bigint"), round_half_up(c)))
+
+
+def template(text: str, values: dict[str, Column]) -> Column:
+    """A text with {name} replaced by the values; unknown names stay."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def url(base: Column, path: Column, params: dict[str, Column]) -> Column:
+    """Base and path with the encoded parameters that have a value."""
+    query = F.concat_ws("&", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string")))) for k, v in params.items()])
+    whole = F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+    return F.when(query == "", whole).otherwise(F.concat(whole, F.lit("?"), query))
+
+
+def url_parameter(c: Column, name: str) -> Column:
+    return F.try_parse_url(c, F.lit("QUERY"), F.lit(name))
+
+
+def tag_list(c: Column) -> Column:
+    """Comma-separated tags, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), trimmed), lambda t: t != "")
+
+
+def command_line(c: Column) -> Column:
+    """A list of words as one text."""
+    return F.array_join(c, " ")
+
+
+def first_text(c: Column) -> Column:
+    """The first value of a JSON object that is a text."""
+    texts = F.filter(F.map_values(F.from_json(c, "map<string,variant>")), lambda v: F.schema_of_variant(v) == "STRING")
+    return F.try_variant_get(F.get(texts, F.lit(0)), "$", "string")

@@ -68,7 +68,12 @@ def conflicts(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def update(target: DataFrame, changes: DataFrame, key: str, columns: list[str], unset: list[str] = ()) -> DataFrame:
-    """Columns set where a change is given; those of ``unset`` become null where the change has none."""
+    """Columns set where a change is given; those of ``unset`` become null where the change has none.
+
+    Repeated changes of a key count once, the greatest by the order of the columns.
+    """
+    names = list(dict.fromkeys([*columns, *unset]))
+    changes = changes.groupBy(key).agg(F.max(F.struct(*names)).alias("_c")).select(key, "_c.*")
     c = changes.select(key, F.lit(True).alias("_hit"), *[F.col(x).alias(f"_n_{x}") for x in [*columns, *unset]])
     out = target.join(c, key, "left")
     new = {x: F.coalesce(F.col(f"_n_{x}"), F.col(x)) for x in columns} | {x: F.when(F.col("_hit"), F.col(f"_n_{x}")).otherwise(F.col(x)) for x in unset}
@@ -84,3 +89,49 @@ def replace_table(df: DataFrame, path: str, new: str) -> None:
     if path == new:
         raise ValueError("a table that is read can't be overwritten; give another path")
     df.write.mode("errorifexists").parquet(new)
+
+
+def lookup(df: DataFrame, id_: object, key: str = "mcp_id") -> DataFrame:
+    """The entry of this id, if it is visible; repeated rows of it stay."""
+    return visible(df).filter(F.col(key) == F.lit(id_))
+
+
+def listed(df: DataFrame, category: str | None = None, featured: str | None = None, search: str | None = None) -> DataFrame:
+    """Visible entries, of a category if one is given, featured ones if ``featured`` is 'true', that match a pattern if one is given."""
+    out = visible(df)
+    out = out.filter(F.col("category") == category) if category else out
+    out = out.filter(F.col("featured")) if featured == "true" else out
+    return search_regex(out, search, ["mcp_name", "description"], "tags") if search else out
+
+
+def projected(df: DataFrame) -> DataFrame:
+    """The public form of entries: every public column, with the defaults of tag, transport and entrypoint; tags without blanks."""
+    defaults = {"docker_tag": "latest", "transport": "stdio", "entrypoint": "node /app/dist/index.js"}
+    public = ["mcp_id", "mcp_name", "description", "author", "mcp_version", "docker_image", "docker_tag", "entrypoint", "config_schema", "requirements", "icon", "category", "tags", "documentation_url", "features", "docker_defaults", "transport", "port", "sse_endpoint", "needs_file_access", "volume_mounts", "use_local", "local_path", "command", "args"]
+    have = set(df.columns)
+    value = lambda c: F.coalesce(*([F.col(c)] if c in have else []), F.lit(defaults[c])) if c in defaults else F.col(c)
+    out = df.select(*[value(c).alias(c) for c in public if c in have or c in defaults])
+    return out.withColumn("tags", F.filter(F.transform("tags", lambda t: F.trim(t)), lambda t: F.coalesce(t != "", F.lit(False)))) if "tags" in have else out
+
+
+def merge_json(df: DataFrame, manifests: DataFrame, key: str, fall_back: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, merged, given): documents with their manifests, both JSON objects whose keys vary (columns doc and manifest).
+
+    Every key that the manifest has wins, also one that the document lacks; a null in it gives way to the document, if
+    ``fall_back`` is None or names the key. ``given`` lists the manifest's keys.
+    """
+    m = F.coalesce(F.from_json("manifest", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    d = F.coalesce(F.from_json("doc", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    rows = df.join(manifests.select(key, "manifest"), key, "left").withColumns({"_m": m, "_d": d})
+    yields = lambda k: F.lit(True) if fall_back is None else k.isin(*fall_back)
+    won = F.map_filter("_m", lambda k, v: v.isNotNull() | ~yields(k) | ~F.map_contains_key("_d", k))
+    kept = F.map_filter("_d", lambda k, v: ~F.map_contains_key("_w", k))
+    return rows.withColumn("_w", won).select(key, F.map_concat(kept, "_w").alias("merged"), F.map_keys("_m").alias("given"))
+
+
+def insert_once(target: DataFrame, rows: DataFrame, key: str, order: str, stamps: dict[str, Column]) -> DataFrame:
+    """The target with the rows whose key it lacks, the first by ``order`` of each key, with the stamps."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in rest])
+    new = first.join(target.select(key), key, "left_anti").withColumns(stamps)
+    return target.unionByName(new.select(*target.columns))

@@ -35,6 +35,35 @@ def in_range(c: Column, limits: dict[str, str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def moment(value: Column, path: str) -> Column:
+    """A time within a JSON value: a text that reads as one, or milliseconds since 1970."""
+    at = F.variant_get(F.try_parse_json(value), "$." + path, "variant")
+    number = F.schema_of_variant(at).isin("BIGINT", "DOUBLE") | F.schema_of_variant(at).startswith("DECIMAL")
+    text = F.get_json_object(value, "$." + path)
+    return F.when(number, F.timestamp_millis(text.try_cast("double").cast("bigint"))).otherwise(text.try_cast("timestamp"))
+
+
+def matches(value: Column, document: dict[str, object]) -> Column:
+    """Whether all parts of a filter document hold: equal values of equal type, or limits of a time, under dotted keys."""
+    out = F.lit(True)
+    for path, wanted in document.items():
+        out = out & (in_range(moment(value, path), wanted) if isinstance(wanted, dict) else equals(value, path, wanted))
+    return F.coalesce(out, F.lit(False))
+
+
+def query_items(df: DataFrame, item: str, document: dict[str, object], order: list[str], offset: int = 0, limit: int = 20) -> DataFrame:
+    """The slice of the matching rows under a total order, with their total and whether more follow."""
+    found = df.filter(matches(F.col(item), document))
+    total = found.agg(F.count("*").alias("total"))
+    # the total is one row
+    return page(found, order, offset, limit).join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + (limit or 20))
+
+
+def paging(number: int = 1, size: int = 20, most: int = 100) -> tuple[int, int]:
+    """(skip, take) of a page from 1 on; a page shows at most ``most`` rows, while skipping goes by the size asked for."""
+    return (number - 1) * size, min(size, most)
+
+
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int = 20) -> DataFrame:
     """A slice under a total order; a limit of 0 is the default."""
     return df.orderBy(*order).offset(offset).limit(limit or 20)
@@ -48,10 +77,23 @@ def envelope(df: DataFrame, skip: int, take: int) -> DataFrame:
 
 
 def summaries(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Kind of each stored value, its number of items and its first keys."""
-    v = F.regexp_replace(text, "^﻿", "")
+    """Kind of each stored value; of lists the number of items, the first three and the first one's keys, of objects their keys and the length of ``data``.
+
+    Keys stand as written: the first ten of an item, the first twenty of an object.
+    """
+    v = F.regexp_replace(text, "^\ufeff", "")
     kind = F.when(F.try_parse_json(v).isNull(), "unreadable").when(F.ltrim(v).startswith("["), "array").when(F.ltrim(v).startswith("{"), "object").otherwise("scalar")
-    return df.select(key, kind.alias("kind"), F.when(kind == "array", F.json_array_length(v)).alias("items"), F.when(kind == "object", F.array_join(F.slice(F.array_sort(F.json_object_keys(v)), 1, 20), ",")).alias("keys"))
+    list_, object_ = kind == "array", kind == "object"
+    first = F.get_json_object(v, "$[0]")
+    items = F.slice(F.from_json(v, "array<string>"), 1, 3)
+    data = F.get_json_object(v, "$.data")
+    cols = {
+        "kind": kind, "items": F.when(list_, F.json_array_length(v)), "first_items": F.when(list_, F.array_join(items, "\n", "null")),
+        "item_keys": F.when(list_ & first.startswith("{"), F.array_join(F.slice(F.json_object_keys(first), 1, 10), ",")),
+        "keys": F.when(object_, F.array_join(F.slice(F.json_object_keys(v), 1, 20), ",")),
+        "data_length": F.when(object_ & F.ltrim(data).startswith("["), F.json_array_length(data)),
+    }
+    return df.select(key, *[c.alias(n) for n, c in cols.items()])
 
 
 def spill(df: DataFrame, key: str, text: str, limit: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -66,12 +108,27 @@ def expire(df: DataFrame, at: str, now_ms: int, keep_ms: int = 3_600_000) -> Dat
     return df.filter(F.col(at) >= now_ms - keep_ms)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(line, ord) of an export: the header with ord 0, then a line for each row; nested cells are JSON texts."""
     from graticule.functions.text import csv_cell
 
     kinds = dict(df.dtypes)
-    line = F.concat_ws(",", *[csv_cell(F.col(c), kinds[c]) for c in df.columns])
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    nested = lambda c: kinds[c].startswith(("array", "struct", "map"))
+    cell = lambda c: F.coalesce(F.to_json(c), F.lit('""')) if nested(c) else csv_cell(F.col(c), kinds[c])
+    head = df.sparkSession.range(1).select(F.lit(",".join(df.columns)).alias("line"), F.lit(0).alias("ord"))
+    return head.unionByName(df.select(F.concat_ws(",", *[cell(c) for c in df.columns]).alias("line"), F.lit(1).alias("ord")))
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """Part files of lines, and the header in a folder of its own."""
+    lines = csv_lines(df)
+    lines.filter("ord = 1").select("line").write.mode("overwrite").option("header", "false").text(path)
+    lines.filter("ord = 0").select("line").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_header")
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """An object per line, null fields included."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:

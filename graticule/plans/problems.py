@@ -78,3 +78,8 @@ o AS (SELECT document_id, field_name, CASE value_type
  WHEN 'decimal' THEN CAST(round(try_cast(CASE WHEN regexp_matches(n, '^[+-]?\d{{1,3}}(\.\d{{3}})+(,\d+)?$') THEN replace(replace(n, '.', ''), ',', '.') WHEN regexp_matches(n, '^[+-]?\d{{1,3}}(,\d{{3}})+(\.\d+)?$') THEN replace(n, ',', '') WHEN regexp_matches(n, '^[+-]?\d{{1,3}}(''\d{{3}})+([.,]\d+)?$|^[+-]?\d+([.,]\d+)?$') THEN replace(replace(n, '''', ''), ',', '.') END AS DECIMAL(30, 8)), 2)::DECIMAL(28, 2) AS VARCHAR) END AS typed_value FROM v)
 SELECT document_id, field_name, typed_value FROM o WHERE typed_value IS NOT NULL
 """
+
+# The columns of field_catalog, which is the same at every scale.
+_COLUMNS = {'codice': 'text', 'titolo': 'text', 'disciplina': 'text', 'scala': 'text', 'redattore': 'text', 'note': 'text', 'revisione': 'int', 'pagine': 'int', 'importo': 'decimal', 'peso_kg': 'decimal', 'data_emissione': 'date', 'data_scadenza': 'date', 'approvato': 'bool', 'riservato': 'bool'}
+_SQL_TYPES = {"text": "VARCHAR", "int": "BIGINT", "decimal": "DECIMAL(28,2)", "date": "DATE", "bool": "BOOLEAN"}
+ORACLE["p6_wide"] = ORACLE["p6_found"].rstrip().removesuffix("SELECT document_id, field_name, typed_value FROM o WHERE typed_value IS NOT NULL") + ", e AS (SELECT DISTINCT document_id FROM document_field_value) SELECT e.document_id, " + ", ".join(f"max(CASE WHEN o.field_name = '{n}' THEN CAST(typed_value AS {_SQL_TYPES[t]}) END) AS {n}" for n, t in _COLUMNS.items()) + " FROM e LEFT JOIN o ON o.document_id IS NOT DISTINCT FROM e.document_id GROUP BY e.document_id"

@@ -331,13 +331,6 @@ def endpoint_split(spark, d):
     return e.select("endpoint", wires.endpoint_class(F.col("endpoint")).alias("class"), c.alias("component"), p.alias("pin"))
 
 
-@query()
-def dedup_fold(spark, d):
-    """Ordered merge of equal connections; the fold is checked against a literal model in the tests."""
-    w = _wires(spark, d).withColumns({"src": F.concat(F.lit("QM"), F.col("sheet").cast("string")), "dst": F.lit("KM1")})
-    return wires.merge_duplicates(w)
-
-
 @query("WITH n AS (SELECT DISTINCT 'XT' || CAST(s_suppkey % 200 AS VARCHAR) AS name, min(s_suppkey) OVER (PARTITION BY s_suppkey % 200) AS ord FROM supplier), x AS (SELECT a.name, b.name AS corrected, row_number() OVER (PARTITION BY a.name ORDER BY b.ord, b.name) AS rn FROM n a JOIN n b ON length(b.name) = length(a.name) + 1 AND substring(b.name, 4) = substring(a.name, 3)) SELECT name, corrected FROM x WHERE rn = 1")
 def suffix_correction(spark, d):
     names = table(spark, d, "supplier").select(F.concat(F.lit("XT"), (F.col("s_suppkey") % 200).cast("string")).alias("name"), F.col("s_suppkey").alias("ord"))
@@ -376,7 +369,10 @@ def clause_explode_valid(spark, d):
     return docs.exploded(table(spark, d, "documents"), "doc_id", F.split("text", "\n"))
 
 
-@query()
+_TRIM = f"trim({{0}}, '{tx.SPACES}')"
+
+
+@query(f"WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS c, string_split(text, chr(10) || chr(10)) AS s FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, CAST(i - 1 AS INT) AS pos, c[i] AS clause FROM t, unnest(range(1, len(c) + 1)) AS u(i)), s AS (SELECT doc_id, CAST(i - 1 AS INT) AS ord, s[i] AS section FROM t, unnest(range(1, len(s) + 1)) AS u(i)), v AS (SELECT * FROM c WHERE {_TRIM.format('clause')} <> ''), h AS (SELECT v.doc_id, v.pos, min(s.ord) AS section_ord FROM v JOIN s ON s.doc_id = v.doc_id AND contains({_TRIM.format('s.section')}, {_TRIM.format('v.clause')}) GROUP BY 1, 2) SELECT v.doc_id, v.pos, v.clause, h.section_ord, h.section_ord IS NOT NULL AS found FROM v LEFT JOIN h USING (doc_id, pos)")
 def clause_context(spark, d):
     """Each line of each text with the first part, by blank lines, that contains it."""
     t = table(spark, d, "documents").filter("text is not null")
@@ -425,10 +421,13 @@ def mail_plain(spark, d):
     return table(spark, d, "emails").select("msg_id", docs.plain_body(F.col("body")).alias("body")).distinct()
 
 
-@query()
+QUERY_VECTOR = [(-1.0) ** i / (i + 1) for i in range(64)]
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({QUERY_VECTOR} AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5")
 def nearest_vectors(spark, d):
     """The five vectors most like a fixed one, a top-k report."""
-    return scans.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", [(-1.0) ** i / (i + 1) for i in range(64)])
+    return scans.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY_VECTOR)
 
 
 @query("SELECT document_id, document_name FROM folder_documents WHERE lower(regexp_extract(document_name, '\\.([^.]+)$', 1)) IN ('pdf')")

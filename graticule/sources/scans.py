@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,64 @@ def mailbox(df: DataFrame, label: str = "ALL", text: str | None = None) -> DataF
 def sent_files(df: DataFrame, extensions: tuple[str, ...], column: str) -> DataFrame:
     """Rows whose file name has one of the endings."""
     return df.filter(F.lower(F.regexp_extract(column, r"\.([^.]+)$", 1)).isin(*extensions))
+
+
+@dataclass(frozen=True)
+class Scan:
+    """A search with declared parameters: a text contained in a column, equal values, an order and pages.
+
+    Parameters without a value don't filter; others than the declared ones are errors. A page has at most 100 rows.
+    """
+
+    text: str | None = None
+    equal: dict[str, str] = field(default_factory=dict)
+    order: tuple[str, ...] = ()
+
+    def run(self, df: DataFrame, params: dict[str, object]) -> DataFrame:
+        given = {k: v for k, v in params.items() if v is not None}
+        if unknown := set(given) - {"search_text", "page", "page_size", *self.equal}:
+            raise ValueError(f"unknown parameters {sorted(unknown)}")
+        if self.text and "search_text" in given:
+            df = df.filter(F.contains(F.lower(self.text), F.lit(str(given["search_text"]).lower())))
+        for name, column in self.equal.items():
+            if name in given:
+                df = df.filter(F.col(column) == F.lit(given[name]))
+        number, size = int(given.get("page", 1)), int(given.get("page_size", 20))
+        return df.orderBy(*self.order).offset((number - 1) * size).limit(min(size, 100))
+
+
+def path_of(template: str, params: dict[str, object]) -> str:
+    """A path with its {name} parts replaced by encoded values."""
+    from urllib.parse import quote
+
+    for name, value in params.items():
+        template = template.replace("{" + name + "}", quote(str(value), safe=""))
+    return template
+
+
+def balances(df: DataFrame, account: str, amount: str, limit: int = 100) -> DataFrame:
+    """(account, balance) of the first accounts of the report."""
+    return df.groupBy(account).agg(F.sum(amount).alias("balance")).orderBy(account).limit(limit)
+
+
+def png_size(df: DataFrame, content: str = "content") -> DataFrame:
+    """Width and height from the header of PNG files; null where the bytes are no PNG."""
+    head = F.hex(F.substring(content, 1, 24))
+    number = lambda at: F.conv(F.substring(head, at, 8), 16, 10).cast("bigint")
+    ok = head.startswith("89504E470D0A1A0A") & (F.length(head) == 48)
+    return df.select("*", F.when(ok, number(33)).alias("width"), F.when(ok, number(41)).alias("height"))
+
+
+def page_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, page, text) of texts whose pages end at form feeds; blank pages are left out."""
+    return df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1).filter(F.trim("text") != "")
+
+
+def category_file(spark: SparkSession, path: str) -> DataFrame:
+    """(category, name) of a JSON file of categories; a missing or unreadable file gives none."""
+    empty = spark.createDataFrame([], "category string, name string")
+    try:
+        raw = spark.read.text(path, wholetext=True)
+        return raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("category", "names")).select("category", F.explode("names").alias("name"))
+    except Exception:  # noqa: BLE001 - fail-soft by definition
+        return empty
