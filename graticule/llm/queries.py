@@ -73,3 +73,19 @@ WITH c AS (SELECT row_id, coalesce({_CANON.format('primary_key')}, '#null') AS k
 g AS (SELECT row_id, min(row_id) OVER (PARTITION BY k, v) AS keep_id FROM c)
 SELECT keep_id, row_id AS dup_id FROM g WHERE row_id <> keep_id
 """
+
+ORACLE["p4_collapsed"] = f"""
+WITH c AS (SELECT row_id, primary_key, coalesce({_CANON.format('primary_key')}, '#null') AS k, list_sort(list_distinct(list_transform(map_entries(cols), lambda e: coalesce({_CANON.format('e.key')}, '#null') || chr(1) || coalesce({_CANON.format('e.value')}, '#null')))) AS v FROM extracted_table)
+SELECT min(row_id) AS row_id, arg_min(coalesce(primary_key, '#null'), row_id) AS pk, count(*) AS copies FROM c GROUP BY k, v
+""".replace("arg_min(coalesce(primary_key, '#null'), row_id) AS pk", "CASE WHEN arg_min(coalesce(primary_key, '#null'), row_id) = '#null' THEN NULL ELSE arg_min(coalesce(primary_key, '#null'), row_id) END AS primary_key")
+
+# every window of 150 characters, kept if it stands in two documents; windows that overlap or touch are one run
+_RUNS = """
+w AS (SELECT doc_id, i - 1 AS a, md5(substring(text, i, 150)) AS h FROM documents, unnest(range(1, greatest(length(text) - 148, 1))) AS u(i) WHERE length(text) >= 150),
+m AS (SELECT h FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, a, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 150 THEN 0 ELSE 1 END AS fresh FROM w JOIN m USING (h)),
+g AS (SELECT doc_id, a, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS run FROM s),
+r AS (SELECT doc_id, CAST(min(a) AS INT) AS start_pos, CAST(max(a) + 150 AS INT) AS end_pos FROM g GROUP BY doc_id, run)"""
+ORACLE["p10_found"] = f"WITH {_RUNS} SELECT doc_id, start_pos, end_pos FROM r"
+ORACLE["p10_coverage"] = f"WITH {_RUNS}, c AS (SELECT doc_id, sum(end_pos - start_pos) AS n FROM r GROUP BY 1) SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INT) AS n_chars, CAST(coalesce(c.n, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(length(d.text), 0) > 0 THEN coalesce(c.n, 0)::DOUBLE / length(d.text) ELSE 0.0 END AS share FROM documents d LEFT JOIN c USING (doc_id)"
+ORACLE["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
