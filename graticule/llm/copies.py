@@ -5,9 +5,12 @@ repeatedly; the filters are merged piece by piece (the bits that two partitions
 the merged "repeated" filter holds every hash that stands in more than one row. Only rows that hit it, true repeats and
 the filter's few false positives, are shuffled and grouped exactly; all others are singletons and never move.
 
-The filter has a fixed number of bits, at most ``MAX_BITS`` (32 MB), whatever the input; a fuller filter lets more
-singletons through to the exact grouping and changes no result. A group that holds a third of all rows is split by a
-salt: its minimum and its count are combined in partial aggregates, and its rows meet the group's row once per salt.
+A filter has ``BITS_PER_ROW`` bits for each row, so about one singleton in 400 passes, however many rows there are. One
+filter has at most ``MAX_BITS`` (32 MB); beyond that the hashes are taken in ranges, each with a filter of its own that is
+built, probed and dropped before the next. A pass reads the kept hashes (24 bytes a row) and nothing else, so the number of
+passes, rows / 16 million, costs reading, while shuffle, memory and broadcast stay those of one range. Pieces travel
+compressed and mostly empty ones shrink to little. A group that holds a third of all rows is split by a salt: its minimum and its count are combined in
+partial aggregates, and its rows meet the group's row once per salt.
 
 Defined cases: a null key and a null value are values of their own, unlike the empty text; a null map is an empty one;
 names that become equal are kept as a set of (name, value) pairs; repeated rows are copies; ties don't exist as ids are
@@ -139,18 +142,36 @@ def possible_repeats(hashes: DataFrame, bits: int) -> DataFrame:
     return hashes.mapInArrow(probe, hashes.schema)
 
 
-def filter_bits(rows: int) -> int:
-    bits = MIN_BITS
-    while bits < min(MAX_BITS, rows * BITS_PER_ROW):
+def filter_plan(rows: int, most: int | None = None) -> tuple[int, int]:
+    """(ranges, bits): how many ranges of hashes there are, and the size of each one's filter."""
+    most = most or MAX_BITS
+    ranges = 1
+    while rows * BITS_PER_ROW > ranges * most:
+        ranges *= 2
+    bits = min(MIN_BITS, most)
+    while bits < min(most, rows * BITS_PER_ROW // ranges):
         bits *= 2
-    return bits
+    return ranges, bits
 
 
-def copies(df: DataFrame, row: str = "row_id", key: str = "primary_key", cols: str = "cols", bits: int | None = None, salts: int = SALTS) -> DataFrame:
+def repeats(hashes: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """The rows whose hash may stand in more than one row, range by range."""
+    if ranges == 1:
+        return possible_repeats(hashes, bits)
+    out = None
+    for r in range(ranges):
+        # bits of the second hash choose the range; the filter's positions come from others
+        own = hashes.filter(F.pmod(F.shiftrightunsigned("_b", 40), F.lit(ranges)) == r)
+        some = checkpointed(possible_repeats(own, bits))  # ends the use of the range's filter
+        out = some if out is None else out.unionAll(some)
+    return out
+
+
+def copies(df: DataFrame, row: str = "row_id", key: str = "primary_key", cols: str = "cols", most: int | None = None, salts: int = SALTS) -> DataFrame:
     """(keep_id, dup_id, copies): for every record that stands there more than once, its other rows and its number of rows."""
-    # 24 bytes a row, read three times: the filter, the probe and the salted groups
+    # 24 bytes a row, read by the filters, the probes and the salted groups
     hashes = checkpointed(canonical_hashes(df, row, key, cols))
-    some = possible_repeats(hashes, bits or filter_bits(hashes.count())).withColumn("_s", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    some = repeats(hashes, *filter_plan(hashes.count(), most)).withColumn("_s", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     salted = some.groupBy("_a", "_b", "_s").agg(F.min(row).alias("_min"), F.count("*").alias("_n"))
     groups = salted.groupBy("_a", "_b").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("copies"), F.collect_list("_s").alias("_ss")).filter("copies > 1")
     spread = groups.select("_a", "_b", "keep_id", "copies", F.explode("_ss").alias("_s"))

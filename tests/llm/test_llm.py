@@ -41,7 +41,18 @@ def test_copies_hot_group_and_full_filter(spark):
         if first.setdefault(form(k), i) != i:
             want.add((first[form(k)], i))
     assert found_copies(spark, rows) == want
-    assert found_copies(spark, rows, bits=1 << 6) == want  # a filter without room lets all rows pass
+    assert found_copies(spark, rows, most=1 << 13) == want  # four ranges
+
+
+def test_filters_keep_singletons_out_at_any_size(spark):
+    assert copies.filter_plan(10**9) == (64, 1 << 28) and copies.filter_plan(0) == (1, 1 << 20) and copies.filter_plan(10**12)[0] * (1 << 28) >= 16 * 10**12
+    # the load of a billion rows on filters of 2^28 bits, on small ones: 61 million rows a filter's bits times 16
+    ranges, bits = copies.filter_plan(40_000, 1 << 17)
+    assert ranges == 8 and bits * ranges >= 16 * 40_000
+    df = spark.range(40_000).repartition(6).select(F.col("id").alias("row_id"), F.xxhash64("id").alias("_a"), F.xxhash64(F.lit(1), "id").alias("_b"))
+    twice = df.filter("row_id < 500").withColumn("row_id", F.col("row_id") + 100_000)
+    passed = {r[0] for r in copies.repeats(df.unionAll(twice), ranges, bits).collect()}
+    assert passed >= set(range(500)) | set(range(100_000, 100_500)) and len(passed) - 1000 < 0.05 * 39_500
 
 
 # ---- tokens
