@@ -147,3 +147,17 @@ def pack_texts(df: DataFrame, capacities: DataFrame, key: str = "doc_id", text:
         raise ValueError("no capacity is given")
     sizes = checkpointed(tokens.encode(df, key, text, "n_tokens", sizes_only=True, **tokenizer))
     return pack(sizes, names, key)
+
+
+def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(pack_name, containers, least, tokens, unused, mean_cost, cost_spread) of packings: how full and how even they are.
+
+    ``least`` is the volume's lower bound of containers, ``unused`` the share of their room that stays empty and
+    ``cost_spread`` the standard deviation of the containers' costs over their mean. Two sums per container are shuffled.
+    """
+    n = F.col("n_tokens")
+    by = packed.groupBy("pack_name", "container").agg(F.sum(n).alias("_n"), F.sum(LINEAR * n + QUADRATIC * n * n).alias("_c"))
+    out = by.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("_n").alias("tokens"), F.avg("_c").alias("mean_cost"), (F.stddev_pop("_c") / F.greatest(F.avg("_c"), F.lit(1e-9))).alias("cost_spread"))
+    cap = capacities.select("pack_name", F.col("capacity_tokens").cast("double").alias("_cap"))
+    out = out.join(cap, "pack_name")
+    return out.select("pack_name", "containers", F.ceil(F.col("tokens") / F.col("_cap")).alias("least"), "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("_cap"))).alias("unused"), "mean_cost", "cost_spread")

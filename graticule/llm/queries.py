@@ -51,6 +51,11 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full and how even the containers of each capacity are."""
+    return packing.report(p9_packed(spark, d), table(spark, d, "pack_capacity"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents"))
 
@@ -63,7 +68,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.passages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p10_found, p10_coverage, p10_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_linked, p4_found, p4_collapsed, p5_found, p5_sanitised, p8_ids, p8_decoded, p9_packed, p9_report, p10_found, p10_coverage, p10_passages)}
 
 ORACLE: dict[str, str] = {}
 

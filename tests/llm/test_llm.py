@@ -121,6 +121,10 @@ def test_packing(spark):
             assert sum(x for _, x in at) == want and (len(at) == 1 if want <= cap else all(x == cap for _, x in at[:-1]))
         # no packing needs less than its volume; the operator states that it needs no more than descending best fit
         assert math.ceil(sum(filled.values()) / cap) <= len(filled) <= best_fit([r["n_tokens"] for r in own], cap)
+    caps = spark.createDataFrame([("a", 512), ("b", 1000)], "pack_name string, capacity_tokens int")
+    for r in packing.report(packing.pack(df, [("a", 512), ("b", 1000)]), caps).collect():
+        own = [x for x in rows if x["pack_name"] == r["pack_name"]]
+        assert r["tokens"] == sum(x["n_tokens"] for x in own) and r["least"] <= r["containers"] == len({x["container"] for x in own}) and 0 <= r["unused"] < 1 and r["cost_spread"] >= 0
     assert packing.pack(df.limit(0), [("a", 5)]).count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, [("a", 0)])
