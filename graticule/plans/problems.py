@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graticule.operators import compare, nested, widen
 from graticule.session import table
@@ -20,6 +21,19 @@ def p2_tables(spark: SparkSession, d: str) -> DataFrame:
     return typed.unionByName(nested.flatten_json(table(spark, d, "stored_response"), "response_id", "summary")).distinct()
 
 
+def p2_tags(spark: SparkSession, d: str) -> DataFrame:
+    """One related table: the tags of the registry with their parent's key and place."""
+    flat = nested.flatten_columns(table(spark, d, "registry"), "mcp_id", ["tags"])
+    return flat.select("record_id", "parent_key", "row_key", "ordinal", F.col("content").alias("tag")).distinct()
+
+
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One related table: the objects of the list ``firstItems`` in typed columns, with their parent's key and place."""
+    flat = nested.flatten_json(table(spark, d, "stored_response"), "response_id", "summary")
+    items = nested.child_table(flat.distinct(), "firstItems")
+    return items.select("record_id", "parent_key", "row_key", "ordinal", *[F.col(c).cast("string").alias(c) for c in ("id", "stato") if c in items.columns])
+
+
 def _catalog(spark: SparkSession, d: str) -> list[tuple[str, str]]:
     return [tuple(r) for r in table(spark, d, "field_catalog").select("field_name", "value_type").collect()]
 
@@ -36,7 +50,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return compare.compare(table(spark, d, "reconcile_entries"), table(spark, d, "reconcile_entries_copy"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p6_found, p6_wide, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_tables, p2_tags, p2_rows, p6_found, p6_wide, p7_found)}
 ORACLE: dict[str, str] = {}
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY primary_key ORDER BY updated_at DESC, status DESC, match_score DESC) AS rn FROM {0}) WHERE rn = 1"
@@ -83,3 +97,6 @@ SELECT document_id, field_name, typed_value FROM o WHERE typed_value IS NOT NULL
 _COLUMNS = {'codice': 'text', 'titolo': 'text', 'disciplina': 'text', 'scala': 'text', 'redattore': 'text', 'note': 'text', 'revisione': 'int', 'pagine': 'int', 'importo': 'decimal', 'peso_kg': 'decimal', 'data_emissione': 'date', 'data_scadenza': 'date', 'approvato': 'bool', 'riservato': 'bool'}
 _SQL_TYPES = {"text": "VARCHAR", "int": "BIGINT", "decimal": "DECIMAL(28,2)", "date": "DATE", "bool": "BOOLEAN"}
 ORACLE["p6_wide"] = ORACLE["p6_found"].rstrip().removesuffix("SELECT document_id, field_name, typed_value FROM o WHERE typed_value IS NOT NULL") + ", e AS (SELECT DISTINCT document_id FROM document_field_value) SELECT e.document_id, " + ", ".join(f"max(CASE WHEN o.field_name = '{n}' THEN CAST(typed_value AS {_SQL_TYPES[t]}) END) AS {n}" for n, t in _COLUMNS.items()) + " FROM e LEFT JOIN o ON o.document_id IS NOT DISTINCT FROM e.document_id GROUP BY e.document_id"
+
+_KEY = "substring(sha256(mcp_id || chr(1) || {0}), 1, 32)"
+ORACLE["p2_tags"] = f"SELECT DISTINCT mcp_id AS record_id, {_KEY.format(repr(''))} AS parent_key, {_KEY.format("'tags[' || CAST(i - 1 AS VARCHAR) || ']'")} AS row_key, CAST(i - 1 AS INT) AS ordinal, tags[i] AS tag FROM registry, unnest(range(1, len(tags) + 1)) AS u(i) WHERE tags[i] IS NOT NULL"
