@@ -18,6 +18,10 @@ Words above the threshold reveal persons wherever they stand with a capital; wit
 neighbours they make up the names. All items are replaced by placeholders of their types, the type being what remains of
 a term that discloses too much.
 
+What remains is terms that are no names but reveal one person all the same, as a firm of one sender does. Of each
+capitalised term the messages are counted by sender; it discloses the sender whose messages hold most of them by
+log2( P(sender | term) / P(sender) ). ``sanitise`` generalises terms above ``TERM_BITS`` to [TERM].
+
 The counts are combinable aggregates. No list of names is broadcast: the words of each message are joined with the
 words' disclosures, and each message gets those of its own words. Texts are read once; both passes share what was found.
 
@@ -44,6 +48,8 @@ BITS = 1.2
 #: Weight of the prior chance of a context, in places, the prior chance of the places that a cue marks, and the weight of
 #: a name in a sender's or recipient's field.
 SMOOTH, CUED, HEADED = 4.0, 0.9, 4
+#: Messages that a term needs, the share of them that must be one sender's, and the bits from which it is generalised.
+TERM_PLACES, TERM_SHARE, TERM_BITS = 4, 0.7, 3.0
 FIELDS = ("body", "snippet")
 #: The context of places that a title, a header line or a mail address marks; and the start of a line.
 CUE, START = "\x02", "^"
@@ -347,9 +353,14 @@ class Read:
         return {t.lower() for m in NAMES.finditer(self.text) if (t := m.group())[0].isupper() and not self.taken[m.start()]}
 
 
-def located(read: Read, revealing: set[str]) -> list[tuple[int, int, str]]:
-    """(begin, end, type) in the field of each item."""
+def located(read: Read, revealing: set[str], terms: set[str] = frozenset()) -> list[tuple[int, int, str]]:
+    """(begin, end, type) in the field of each item, and of each telling term that is in none."""
     found = [*read.forms, *((a, b, "NAME") for a, b in names(read.text, read.taken, read.cued, revealing))]
+    if terms:
+        mask = bytearray(read.taken)
+        for a, b, _ in found:
+            mask[a:b] = b"\x01" * (b - a)
+        found += [(m.start(), m.end(), "TERM") for m in TOKEN.finditer(read.text) if (t := m.group())[0].isupper() and not mask[m.start()] and t.lower() in terms]
     return [(*place(read.begins, read.raws, read.sizes, a, b), kind) for a, b, kind in sorted(found)]
 
 
@@ -376,7 +387,8 @@ _CONTEXTS = pa.list_(pa.struct([("word", pa.string()), ("l", pa.string()), ("r",
 
 def first_pass(df: DataFrame) -> DataFrame:
     """Every message once, with what is found in its fields by form and cue, its contexts and its capitalised words."""
-    once = df.select("msg_id", "body", "snippet").groupBy("msg_id", "body", "snippet").agg(F.lit(1).alias("_")).select(F.xxhash64("msg_id", "body", "snippet").alias("rid"), "msg_id", "body", "snippet")
+    who = F.nullif(F.lower(F.regexp_extract("sender", r"([^\s<>\"]+@[^\s<>\"]+)", 1)), F.lit(""))
+    once = df.select("msg_id", "body", "snippet", who.alias("who")).groupBy("msg_id", "body", "snippet").agg(F.min("who").alias("who")).select(F.xxhash64("msg_id", "body", "snippet").alias("rid"), "msg_id", "body", "snippet", "who")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,9 +408,9 @@ def first_pass(df: DataFrame) -> DataFrame:
                 if not texts[0]:
                     contexts.append([])
                 words.append(list(seen))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, _PLACED) for f in fields), pa.array(contexts, _CONTEXTS), pa.array(words, pa.list_(pa.string()))], names=["rid", "msg_id", "body", "snippet", "in_body", "in_snippet", "contexts", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f, _PLACED) for f in fields), pa.array(contexts, _CONTEXTS), pa.array(words, pa.list_(pa.string()))], names=["rid", "msg_id", "body", "snippet", "who", "in_body", "in_snippet", "contexts", "words"])
 
-    return once.mapInArrow(rows, f"rid bigint, msg_id string, body string, snippet string, in_body {PLACED}, in_snippet {PLACED}, contexts array<struct<word: string, l: string, r: string>>, words array<string>")
+    return once.mapInArrow(rows, f"rid bigint, msg_id string, body string, snippet string, who string, in_body {PLACED}, in_snippet {PLACED}, contexts array<struct<word: string, l: string, r: string>>, words array<string>")
 
 
 def headed(df: DataFrame) -> DataFrame:
@@ -426,17 +438,35 @@ def disclosure(contexts: DataFrame, head: DataFrame) -> DataFrame:
     return both.select("word", F.log2(F.col("p") / (F.col("n") - F.col("p") + 1e-9) / F.lit(mean / (1 - mean))).alias("bits"))
 
 
-def with_revealing(df: DataFrame) -> DataFrame:
-    """Messages of the first pass, each with those of its words that reveal persons."""
+def telling_terms(mails: DataFrame, revealing: DataFrame) -> DataFrame:
+    """(word): capitalised terms, names left out, that disclose one sender. A number is collected, that of the messages."""
+    sent = mails.filter("who is not null")
+    total = sent.count()
+    persons = sent.groupBy("who").agg(F.count("*").alias("m"))
+    terms = sent.select("who", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["word"]))).alias("word"))
+    by = terms.groupBy("word", "who").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("all"), F.max(F.struct("n", "who")).alias("top"))
+    share = F.col("top.n") / F.col("all")
+    some = by.filter((F.col("all") >= TERM_PLACES) & (share >= TERM_SHARE)).select("word", share.alias("share"), "top.who")
+    bits = F.log2(F.col("share") / (F.col("m") / F.lit(float(max(total, 1)))))
+    return some.join(persons, "who").filter(bits >= TERM_BITS).select("word").join(revealing, "word", "left_anti")
+
+
+def with_revealing(df: DataFrame, terms: bool = False) -> DataFrame:
+    """Messages of the first pass, each with those of its words that reveal persons and, if asked for, its telling terms."""
     mails = checkpointed(first_pass(df))  # read for the contexts, the words and the items
     bits = disclosure(mails.select(F.explode("contexts").alias("c")).select("c.*"), headed(df)).filter(F.col("bits") >= BITS)
-    mine = mails.select("rid", F.explode("words").alias("word")).join(bits.select("word"), "word").groupBy("rid").agg(F.collect_set("word").alias("revealing"))
-    return mails.select("rid", "msg_id", "body", "snippet", "in_body", "in_snippet").join(mine, "rid", "left").drop("rid")
+    words = mails.select("rid", F.explode("words").alias("word"))
+    mine = words.join(bits.select("word"), "word").groupBy("rid").agg(F.collect_set("word").alias("revealing"))
+    out = mails.select("rid", "msg_id", "body", "snippet", "in_body", "in_snippet").join(mine, "rid", "left")
+    if terms:
+        out = out.join(words.join(telling_terms(mails, bits.select("word")), "word").groupBy("rid").agg(F.collect_set("word").alias("terms")), "rid", "left")
+    return out.drop("rid")
 
 
 def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, list[tuple[int, int, str]]]]:
     """(row, number of the field, raw text, items in it) of a batch of ``with_revealing``, null and empty fields left out."""
     known = [set(w or ()) for w in batch.column(5).to_pylist()]
+    terms = [set(w or ()) for w in batch.column(6).to_pylist()] if batch.num_columns > 6 else None
     ids = batch.column(0).to_pylist()
     raws = [batch.column(i).to_pylist() for i in (1, 2)]
     read = [batch.column(i).to_pylist() for i in (3, 4)]
@@ -451,7 +481,7 @@ def _found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, list[tuple[in
                 for a, b, _ in r.forms:
                     r.taken[a:b] = b"\x01" * (b - a)
                 web(r.text, r.taken)
-                yield k, f, raws[f][k], located(r, known[k])
+                yield k, f, raws[f][k], located(r, known[k], terms[k] if terms else set())
 
 
 def find(df: DataFrame) -> DataFrame:
@@ -467,7 +497,7 @@ def find(df: DataFrame) -> DataFrame:
 
 
 def sanitise(df: DataFrame) -> DataFrame:
-    """(msg_id, body, snippet) with typed placeholders."""
+    """(msg_id, body, snippet) with typed placeholders for items, and [TERM] for other terms that disclose a sender."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -476,4 +506,4 @@ def sanitise(df: DataFrame) -> DataFrame:
                 made[f][k] = sanitised(raw, found)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(m, pa.string()) for m in made)], names=["msg_id", "body", "snippet"])
 
-    return with_revealing(df).mapInArrow(rows, "msg_id string, body string, snippet string")
+    return with_revealing(df, terms=True).mapInArrow(rows, "msg_id string, body string, snippet string")

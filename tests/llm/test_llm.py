@@ -321,6 +321,17 @@ def test_disclosure_is_learned_and_decides(spark, monkeypatch):
     assert found() == set()
 
 
+def test_telling_terms_are_generalised(spark):
+    rows = []
+    for i in range(64):
+        firm = "Zetafirma" if i % 16 == 0 else "Comune"
+        rows.append((f"m{i}", None, f"{'Anna' if i % 16 == 0 else 'Luca'} Rossi <p{i % 16}@acme.test>", None, f"Il cavo va bene, dice la ditta {firm} oggi.", None, None, AT))
+    df = spark.createDataFrame(rows, MAIL)
+    clean = {r["msg_id"]: r["body"] for r in pii.sanitise(df).collect()}
+    assert clean["m16"] == "Il cavo va bene, dice la ditta [TERM] oggi." and clean["m1"] == rows[1][4]
+    assert "TERM" not in {r["pii_type"] for r in pii.find(df).collect()}
+
+
 def test_flat_places():
     raw = "<p>A&amp;B</p>\r\n<p>&gt; c  d</p>"
     flat = pii.Flat(raw)
