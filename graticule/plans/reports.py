@@ -29,13 +29,13 @@ def query(sql: str | None = None):
 
 # ---- wires
 
-REPEATS = ["concat('w', CAST(l_orderkey % 50 AS {s})) AS id", "concat('QM', CAST(l_linenumber AS {s})) AS src", "'KM1' AS dst", "l_orderkey * 100000 + l_partkey AS ord", "CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS cable", "CASE WHEN l_partkey % 3 = 0 THEN ' ' WHEN l_partkey % 3 = 1 THEN '2,5' END AS gauge", "CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END AS color", "CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_quantity AS DOUBLE) END AS length_mm", "CASE WHEN l_partkey % 5 = 0 THEN 't' END AS terminal_a", "CASE WHEN l_suppkey % 5 = 0 THEN l_returnflag END AS terminal_b", "CASE WHEN l_partkey % 97 = 0 THEN CAST(l_suppkey AS {s}) WHEN l_partkey % 89 = 0 THEN ' ' END AS note", "l_suppkey % 7 AS page"]
+REPEATS = ["CAST(l_orderkey AS {s}) AS id", "concat('QM', CAST(l_linenumber % 3 AS {s})) AS src", "'KM1' AS dst", "l_orderkey * 100000 + l_partkey AS ord", "CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS cable", "CASE WHEN l_partkey % 3 = 0 THEN ' ' WHEN l_partkey % 3 = 1 THEN '2,5' END AS gauge", "CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END AS color", "CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_quantity AS DOUBLE) END AS length_mm", "CASE WHEN l_partkey % 5 = 0 THEN 't' END AS terminal_a", "CASE WHEN l_suppkey % 5 = 0 THEN l_returnflag END AS terminal_b", "CASE WHEN l_partkey % 97 = 0 THEN CAST(l_suppkey AS {s}) WHEN l_partkey % 89 = 0 THEN ' ' END AS note", "l_suppkey % 7 AS page"]
 _F = ("cable", "gauge", "color", "terminal_a", "terminal_b")
 _SORTED = "ord, sc, note, " + ", ".join(f"{c} NULLS FIRST" for c in ("cable", "gauge", "color", "length_mm", "terminal_a", "terminal_b", "page"))
 _TAKE = ", ".join(f"CASE WHEN r.sc + (trim(r.note) <> '')::int > s.sc + (trim(s.note) <> '')::int THEN r.{c} ELSE s.{c} END" for c in ("sc", "cable", "gauge", "color", "length_mm", "terminal_a", "terminal_b", "page"))
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT {', '.join(x.format(s='VARCHAR') for x in REPEATS)} FROM lineitem WHERE l_partkey % 10 < 2),
+@query(f"""WITH RECURSIVE w AS (SELECT {', '.join(x.format(s='VARCHAR') for x in REPEATS)} FROM lineitem),
 c AS (SELECT * REPLACE (coalesce(note, '') AS note), {' + '.join(f"(trim(coalesce({x},'')) <> '')::int" for x in _F)} + (length_mm IS NOT NULL)::int AS sc FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, src, dst ORDER BY {_SORTED}) AS rn FROM c),
 s AS (SELECT id, src, dst, ord, note, sc, cable, gauge, color, length_mm, terminal_a, terminal_b, page, rn FROM r WHERE rn = 1
@@ -43,7 +43,7 @@ UNION ALL SELECT s.id, s.src, s.dst, s.ord, CASE WHEN s.note <> '' AND r.note <>
 SELECT id, src, dst, ord, note, cable, gauge, color, length_mm, terminal_a, terminal_b, page FROM (SELECT *, max(rn) OVER (PARTITION BY id, src, dst) AS last FROM s) WHERE rn = last""")
 def dedup_fold(spark, d):
     """Ordered merge of the wires of equal ends: the better filled row wins, notes are joined."""
-    return wires.merge_duplicates(table(spark, d, "lineitem").filter("l_partkey % 10 < 2").selectExpr(*[x.format(s="STRING") for x in REPEATS]))
+    return wires.merge_duplicates(table(spark, d, "lineitem").selectExpr(*[x.format(s="STRING") for x in REPEATS]))
 
 
 _BASE = r"(CASE WHEN regexp_matches(regexp_replace({0}, '^-', ''), '^[A-Za-z]+\d+') THEN regexp_extract(regexp_replace({0}, '^-', ''), '^[A-Za-z]+\d+', 0) ELSE trim(regexp_replace({0}, '^-', '')) END)"
