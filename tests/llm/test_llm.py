@@ -396,6 +396,16 @@ def test_candidates_of_common_keys_grow_with_the_rows(spark):
     assert len(got) <= 4 * n + 15 * 15
 
 
+def test_plan_of_candidates_does_not_grow_with_the_rounds(spark):
+    # two rows meet at once, forty need rounds of narrowing
+    left = [(f"E{i}", None, "Schema unifilare quadro", "ELE", "01/03/2024", f"{'abcdefghij'[i % 10]} srl", 5 + i // 10) for i in range(40)]
+    right = [(f"F{i}", None, "Schema unifilare quadro elettrico", None, dt.datetime(2024, 3, 1), f"{'abcdefghij'[i % 10]} srl", 5 + i // 10) for i in range(40)]
+    a = spark.createDataFrame(left, "entry_id string, table_code string, table_description string, discipline string, issue_date string, author string, pages int")
+    b = spark.createDataFrame(right, "document_id string, folder_code string, folder_description string, discipline string, revised_at timestamp, author string, pages int")
+    joins = [linkage.candidates(linkage.formed(a.limit(n), linkage.ENTRY), linkage.formed(b.limit(n), linkage.FOLDER, True))._jdf.queryExecution().optimizedPlan().toString().count("Join ") for n in (2, 40)]
+    assert joins == [2, 2]  # each pair meets its two rows
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(8)
     y = rng.random(20_000) < 0.3
